@@ -1,3 +1,59 @@
-ORACLE_SQL=None
-STAGES=[]
-def run(spark, sf_dir): pass
+"""A corpus pipeline in five stages, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm.common import stage_path
+from quern.llm.line_dedup import drop_recurring_lines
+from quern.llm.mixing import mix
+from quern.llm.near_dup import drop_near_duplicates
+from quern.llm.packing import pack_documents
+from quern.llm.quality_rules import keep_quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose histograms are far from their language's go."""
+    return keep_quality(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; the documents stay."""
+    return drop_recurring_lines(docs)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document taken twice is two rows."""
+    return mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in the training sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near duplicates", near_dup_stage),
+    ("source mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: MinHash signatures and the packing search can't be put in SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = stage_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def prefix(df: DataFrame) -> str:
+    """The start of column names of which ``df`` has none."""
+    out = "_q_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "q_"
+    return out
+
+
 def word_tokens(text: Column) -> Column:
     """Count of white-space separated words; null text counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
@@ -50,3 +59,9 @@ def word_tokens(text: Column) -> Column:
 
 #: DuckDB spelling of :func:`word_tokens`.
 WORD_TOKENS_SQL = r"CAST(coalesce(len(regexp_extract_all(text, '\S+')), 0) AS BIGINT)"
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name.replace(' ', '_')}-{uuid.uuid4().hex}"
