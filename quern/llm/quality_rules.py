@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh
+from quern.llm.common import prefix
 
 #: Frequent function words by language; the words are fixed, their shares come from the corpus.
 COMMON_WORDS = {
@@ -39,89 +39,72 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("other"))
 
 
-def _with_histograms(docs: DataFrame, text: str, lang: str, chars: str, words: str, language: str) -> DataFrame:
-    """Adds the counts: 6 character classes; the common words of the language and all other words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    names = [fresh(docs, f"t{i}") for i in range(5)]
-    hits, n_words = fresh(docs, "hits"), fresh(docs, "nw")
+def _counted(docs: DataFrame, text: str, lang: str, at: str) -> DataFrame:
+    """docs with the columns <at>language, <at>c0-5 (character classes) and
+    <at>w0-12 (the language's common words, then all other words)."""
+    names = [f"{at}t{i}" for i in range(5)]
+    # each pattern removes a class, so that the next one has less to read
     shrink = [r"[\p{Ll}]+", r"\s+", r"[\p{L}]+", r"[\p{Nd}]+", r"""[.,;:?!'"()-]+"""]
-    out = docs.withColumn(language, _language(F.col(lang)))
-    last = t
-    for name, pattern in zip(names, shrink):
-        out = out.withColumn(name, F.regexp_replace(last, pattern, ""))
-        last = F.col(name)
-    lengths = [F.length(t), *(F.length(n) for n in names)]
-    out = out.withColumn(chars, F.array(*(a - b for a, b in zip(lengths, lengths[1:])), lengths[-1]))
-    out = out.withColumn(hits, F.regexp_extract_all(t, F.lit(_COMMON), F.lit(0)))
-    out = out.withColumn(n_words, F.regexp_count(t, F.lit(r"\p{L}+")))
-
-    def of(k: int) -> Column:
-        w = F.lit(None).cast("string")
-        for code, ws in COMMON_WORDS.items():
-            w = F.when(F.col(language) == code, F.lit(ws[k])).otherwise(w)
-        return F.coalesce(F.size(F.filter(hits, lambda x: x == w)), F.lit(0))
-
-    counts = fresh(docs, "counts")
-    out = out.withColumn(counts, F.array(*(of(k) for k in range(_N))))
-    rest = F.col(n_words) - F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return out.withColumn(words, F.concat(F.col(counts), F.array(rest))).drop(*names, hits, n_words, counts)
-
-
-def _sums(col: str, n: int) -> list[Column]:
-    return [F.sum(F.col(col)[i].cast("long")) for i in range(n)]
-
-
-def _shares(col: Column) -> Column:
-    total = F.aggregate(col, F.lit(0).cast("double"), lambda a, x: a + x)
-    return F.transform(col, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
-
-
-def js_distance(p: Column, q: Column) -> Column:
-    """Square root of the base-2 Jensen-Shannon divergence of two count arrays."""
+    out = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias(f"{at}t"), _language(F.col(lang)).alias(f"{at}language"))
+    for before, name, pattern in zip([f"{at}t", *names], names, shrink):
+        out = out.select("*", F.regexp_replace(before, pattern, "").alias(name))
+    # SQL text from here on: hundreds of Column objects would take the driver seconds to build
+    lengths = [f"length({at}t)", *(f"length({x})" for x in names)]
+    chars = [*(f"{a} - {b}" for a, b in zip(lengths, lengths[1:])), lengths[-1]]
+    # the common words one after another, each between two spaces
+    hits = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(f"{at}t", F.lit(_COMMON), F.lit(0)), "  "), F.lit(" "))
+    out = out.select(*docs.columns, f"{at}language", F.regexp_count(f"{at}t", F.lit(r"\p{L}+")).alias(f"{at}n"), hits.alias(f"{at}hits"), *(F.expr(c).alias(f"{at}c{i}") for i, c in enumerate(chars)))
+    gone = lambda w: f"CAST((length({at}hits) - length(replace({at}hits, ' {w} ', ''))) / {len(w) + 2} AS INT)"
+    words = [f"CASE {at}language {' '.join(f"WHEN '{code}' THEN {gone(ws[k])}" for code, ws in COMMON_WORDS.items())} ELSE 0 END" for k in range(_N)]
+    out = out.select(*(c for c in out.columns if c != f"{at}hits"), *(F.expr(w).alias(f"{at}w{k}") for k, w in enumerate(words)))
+    return out.select("*", F.expr(f"{at}n - ({' + '.join(f'{at}w{k}' for k in range(_N))})").alias(f"{at}w{_N}"))
+
+
+def js_distance(p: Column, total_p: Column, q: Column, total_q: Column) -> Column:
+    """Square root of the base-2 Jensen-Shannon divergence of two arrays of
+    counts with their totals; an empty histogram has no share anywhere."""
 
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(_shares(p), _shares(q), lambda a, b: term(a, b) + term(b, a))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+    shares = lambda xs, total: F.transform(xs, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    parts = F.zip_with(shares(p, total_p), shares(q, total_q), lambda a, b: term(a, b) + term(b, a))
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def language_references(docs: DataFrame) -> DataFrame:
-    """Summed histograms by language: at most one row per word list and one for all the rest."""
-    h = _with_histograms(docs.select("text", "lang"), "text", "lang", "c", "w", "language")
-    return h.groupBy("language").agg(F.array(*_sums("c", 6)).alias("ref_chars"), F.array(*_sums("w", _N + 1)).alias("ref_words"))
+def language_references(docs: DataFrame, at: str = "_q_") -> DataFrame:
+    """Summed histograms by language and their totals: at most one row per word list and one for all the rest."""
+    counted = _counted(docs.select(F.col("text").alias(f"{at}text"), F.col("lang").alias(f"{at}lang")), f"{at}text", f"{at}lang", at)
+    sums = {kind: ", ".join(f"sum(CAST({at}{kind}{i} AS BIGINT))" for i in range(n)) for kind, n in (("c", 6), ("w", _N + 1))}
+    out = counted.groupBy(f"{at}language").agg(*(F.expr(f"array({cols})").alias(f"{at}{kind}_ref") for kind, cols in sums.items()))
+    return out.select("*", *(F.expr(f"aggregate({at}{kind}_ref, 0L, (s, x) -> s + x)").alias(f"{at}{kind}_all") for kind in sums))
 
 
-def _judged(docs: DataFrame, judged: dict[str, str]) -> DataFrame:
-    """docs with the columns js_chars, js_words, n_words, keep under the names of ``judged``."""
-    c, w, language = fresh(docs, "c"), fresh(docs, "w"), fresh(docs, "lang")
-    refs = language_references(docs)
-    refs = refs.select(F.col("language").alias(language), F.col("ref_chars").alias(fresh(docs, "rc")), F.col("ref_words").alias(fresh(docs, "rw")))
+def _judged(docs: DataFrame, at: str) -> DataFrame:
+    """docs with <at>n (words), <at>js_chars, <at>js_words, <at>keep."""
+    c = lambda name: F.col(f"{at}{name}")
+    out = _counted(docs, "text", "lang", at)
+    chars, words = ([f"{at}{kind}{i}" for i in range(n)] for kind, n in (("c", 6), ("w", _N + 1)))
+    out = out.select(*docs.columns, c("language"), c("n"), c("c1"), F.expr(" + ".join(chars)).alias(f"{at}len"), F.array(*chars).alias(f"{at}c"), F.array(*words).alias(f"{at}w"))
     # at most len(COMMON_WORDS) + 1 rows by construction
-    out = _with_histograms(docs, "text", "lang", c, w, language).join(F.broadcast(refs), language)
-    rc, rw = F.col(refs.columns[1]), F.col(refs.columns[2])
-    n_chars, n_words = fresh(docs, "n"), judged["n_words"]
-    out = out.withColumn(n_chars, F.aggregate(c, F.lit(0), lambda a, x: a + x)).withColumn(n_words, F.aggregate(w, F.lit(0), lambda a, x: a + x))
-    out = out.withColumn(judged["js_chars"], F.round(js_distance(F.col(c), rc), 6)).withColumn(judged["js_words"], F.round(js_distance(F.col(w), rw), 6))
-    blank = F.col(n_chars) - F.col(c)[1] <= 0
-    off_chars = (F.col(n_chars) >= MIN_CHARS) & (F.col(judged["js_chars"]) > MAX_JS_CHARS)
-    off_words = (F.col(n_words) >= MIN_WORDS) & (F.col(language) != "other") & (F.col(judged["js_words"]) > MAX_JS_WORDS)
-    out = out.withColumn(judged["keep"], ~blank & ~off_chars & ~off_words)
-    return out.drop(c, w, language, n_chars, *refs.columns[1:])
+    out = out.join(F.broadcast(language_references(docs, at)), f"{at}language")
+    js_chars, js_words = js_distance(c("c"), c("len"), c("c_ref"), c("c_all")), js_distance(c("w"), c("n"), c("w_ref"), c("w_all"))
+    out = out.select(*docs.columns, c("language"), c("n"), c("c1"), c("len"), F.round(js_chars, 6).alias(f"{at}js_chars"), F.round(js_words, 6).alias(f"{at}js_words"))
+    off_chars = (c("len") >= MIN_CHARS) & (c("js_chars") > MAX_JS_CHARS)
+    off_words = (c("n") >= MIN_WORDS) & (c("language") != "other") & (c("js_words") > MAX_JS_WORDS)
+    return out.select("*", ((c("len") > c("c1")) & ~off_chars & ~off_words).alias(f"{at}keep"))
 
 
 def quality_scores(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, lang, n_words, js_chars, js_words, keep."""
-    slim = docs.select("doc_id", "lang", "text")
-    names = ["n_words", "js_chars", "js_words", "keep"]
-    return _judged(slim, {n: n for n in names}).select("doc_id", "lang", *names)
+    out = _judged(docs.select("doc_id", "lang", "text"), "_q_")
+    return out.select("doc_id", "lang", F.col("_q_n").alias("n_words"), F.col("_q_js_chars").alias("js_chars"), F.col("_q_js_words").alias("js_words"), F.col("_q_keep").alias("keep"))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    names = {n: fresh(docs, n) for n in ("n_words", "js_chars", "js_words", "keep")}
-    return _judged(docs, names).where(F.col(names["keep"])).select(*docs.columns)
+    at = prefix(docs)
+    return _judged(docs, at).where(F.col(f"{at}keep")).select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
