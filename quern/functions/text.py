@@ -86,10 +86,11 @@ def safe_filename(c: Column, ending: str = ".pdf", most: int = 150) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in steps of 1024 up to TB, with one decimal."""
-    out = F.format_string("%.1f TB", n / F.lit(1024.0**4))
+    """Bytes in steps of 1024 up to TB, with one decimal; a tie goes to the even digit, as in C and Python."""
+    shown = lambda power, unit: F.concat(F.format_string("%.1f", F.bround(n / F.lit(1024.0**power), 1)), F.lit(f" {unit}"))
+    out = shown(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), shown(power, unit)).otherwise(out)
     return F.when(n.isNotNull(), out)
 
 

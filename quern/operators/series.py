@@ -11,10 +11,12 @@ PHASES = {"align": 0.2, "stack": 0.4, "merge": 0.4}
 
 def trailing_rate(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int = 30) -> DataFrame:
     """rate: (last - first) / (time between) over the rows of the last seconds, null under two samples or without time between."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    first, last = F.min(F.struct(ts, value)).over(w), F.max(F.struct(ts, value)).over(w)
-    took = F.unix_micros(last[ts]) / 1e6 - F.unix_micros(first[ts]) / 1e6
-    return df.withColumn("rate", F.when(took > 0, (last[value] - first[value]) / took))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
+    sample = F.struct(micros.alias("at"), F.col(value).alias("v"))
+    first, last = F.min(sample).over(w), F.max(sample).over(w)
+    took = (last["at"] - first["at"]) / F.lit(1e6)
+    return df.withColumn("rate", F.when(took > 0, (last["v"] - first["v"]) / took))
 
 
 def with_eta(df: DataFrame, ts: str = "ts", phase: str = "phase", percent: str = "percent", job: str = "job", seconds: int = 30) -> DataFrame:

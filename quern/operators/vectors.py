@@ -23,8 +23,9 @@ def cosine_top_k(df: DataFrame, idx: str, vector: str, query: list[float], k: in
     return scored.orderBy(F.col("cosine").desc(), F.col(idx)).limit(k)
 
 
-def nearest_two(queries: DataFrame, train: DataFrame, idx: str, vector: str) -> DataFrame:
-    """query, best, d1, d2: exact distances to the two nearest of another table.
+def nearest_two(queries: DataFrame, train: DataFrame, idx: str, vector: str, others: bool = False) -> DataFrame:
+    """query, best, d1, d2: exact distances to the two nearest of another table,
+    or with ``others`` to the two nearest other rows (of another id) of the same.
 
     Every query meets every row, twice: once for the nearest, once for the
     nearest of all others. Both keep one row a query in a partial aggregate, so
@@ -34,9 +35,10 @@ def nearest_two(queries: DataFrame, train: DataFrame, idx: str, vector: str) ->
     t = train.select(F.col(idx).alias("neighbour"), F.col(vector).alias("_t"))
     far = F.sqrt(F.aggregate(F.zip_with("_q", "_t", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
     pair = F.struct(F.round(far, 9).alias("d"), "neighbour")
-    first = q.crossJoin(t).groupBy("query").agg(F.min(pair).alias("p1"))
-    others = q.join(first, "query").crossJoin(t).where(F.col("neighbour") != F.col("p1.neighbour"))
-    second = others.groupBy("query").agg(F.min(pair).alias("p2"))
+    pairs = lambda left: left.join(t, F.col("query") != F.col("neighbour")) if others else left.crossJoin(t)
+    first = pairs(q).groupBy("query").agg(F.min(pair).alias("p1"))
+    rest = pairs(q.join(first, "query")).where(F.col("neighbour") != F.col("p1.neighbour"))
+    second = rest.groupBy("query").agg(F.min(pair).alias("p2"))
     out = first.join(second, "query", "left")
     return out.select("query", F.col("p1.neighbour").alias("best"), F.col("p1.d").alias("d1"), F.col("p2.d").alias("d2"))
 

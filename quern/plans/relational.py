@@ -63,12 +63,13 @@ def spread_by_brand(spark, sf_dir):
     return out.select("p_brand", "n", "least", "greatest", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
-@query("""WITH g AS (SELECT p_size, avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS d FROM part WHERE p_size % 2 = 0 GROUP BY 1), a AS (SELECT avg(p_retailprice) AS am, stddev_pop(p_retailprice) AS ad FROM part)
-SELECT p_partkey, round(coalesce(m, am), 6) AS mean, round(coalesce(d, ad), 6) AS deviation FROM part LEFT JOIN g USING (p_size), a""")
+@query("""WITH g AS (SELECT o_custkey, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM orders GROUP BY 1), a AS (SELECT avg(c_acctbal) AS am, stddev_pop(c_acctbal) AS ad FROM customer)
+SELECT c_custkey, round(coalesce(m, am), 6) AS mean, round(coalesce(d, ad), 6) AS deviation FROM customer LEFT JOIN g ON o_custkey = c_custkey, a""")
 def mean_with_fallback(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    out = stats.with_fallback(p, stats.spread_by_key(p.where("p_size % 2 = 0"), "p_size", "p_retailprice"), "p_size", "p_retailprice")
-    return out.select("p_partkey", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    by_customer = stats.spread_by_key(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), "c_custkey", "o_totalprice")
+    out = stats.with_fallback(c, by_customer, "c_custkey", "c_acctbal")
+    return out.select("c_custkey", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 @query("""WITH l AS (SELECT p_partkey, p_retailprice / length(p_name) AS r, unnest(list_distinct(regexp_extract_all(p_name, '.'))) AS letter FROM part WHERE length(p_name) > 0)
@@ -99,8 +100,9 @@ def running_counter(spark, sf_dir):
     return stats.running_index(li, "l_suppkey", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("nth").cast("long").alias("nth"))
 
 
-@query("""SELECT event_id, round(CASE WHEN epoch_us(ts) > epoch_us(first_ts) THEN (value - first_v) / ((epoch_us(ts) - epoch_us(first_ts)) / 1e6) END, 9) AS rate FROM (
- SELECT event_id, ts, value, min((ts, value)) OVER w AS f, f[1] AS first_ts, f[2] AS first_v FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW))""")
+@query("""SELECT event_id, round(CASE WHEN l.at > f.at THEN (l.v - f.v) / ((l.at - f.at) / 1e6) END, 9) AS rate FROM (
+ SELECT event_id, min({'at': epoch_us(ts), 'v': value}) OVER w AS f, max({'at': epoch_us(ts), 'v': value}) OVER w AS l
+ FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW))""")
 def trailing_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return series.trailing_rate(e, ["event_type", "user_id"], "ts", "value", 86400).select("event_id", F.round("rate", 9).alias("rate"))
@@ -238,20 +240,20 @@ def anti_members(spark, sf_dir):
     return dedup.not_members(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def concatenated_rows(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
 def _graph(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_partkey < 200").select("l_orderkey", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     other = li.select("l_orderkey", F.col("l_partkey").alias("other"))
     edges = li.join(other, "l_orderkey").where("l_partkey < other").select("l_partkey", "other")
-    return graph.build(edges, table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("node")), "l_partkey", "other")
+    return graph.build(edges, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), "l_partkey", "other")
 
 
-_GRAPH_SQL = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey < 200), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), n AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 200 UNION SELECT src FROM e UNION SELECT dst FROM e), bi AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+_GRAPH_SQL = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), n AS (SELECT p_partkey AS node FROM part UNION SELECT src FROM e UNION SELECT dst FROM e), bi AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 
 @query(f"""WITH {_GRAPH_SQL}, d AS (SELECT node, count(dst) AS degree FROM n LEFT JOIN bi ON src = node GROUP BY 1),
@@ -261,15 +263,15 @@ def degree_clustering(spark, sf_dir):
     return graph.clustering(*_graph(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 9))
 
 
-@query(f"""WITH RECURSIVE {_GRAPH_SQL}, r(node, reach) AS (SELECT node, node FROM n UNION SELECT r.node, bi.dst FROM r JOIN bi ON bi.src = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+@query()  # a recursive query over the whole graph is too slow; the tests compare with brute force
 def connected_components(spark, sf_dir):
     return graph.components(*_graph(spark, sf_dir))
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT src, dst FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0")
+@query(f"WITH {_GRAPH_SQL} SELECT src, dst FROM e SEMI JOIN (SELECT p_partkey FROM part WHERE p_size > 15) a ON a.p_partkey = src SEMI JOIN (SELECT p_partkey FROM part WHERE p_size > 15) b ON b.p_partkey = dst")
 def guarded_edges(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return graph.guarded_edges(edges, nodes.where("node % 3 <> 0"))
+    _, edges = _graph(spark, sf_dir)
+    return graph.guarded_edges(edges, table(spark, sf_dir, "part").where("p_size > 15").select(F.col("p_partkey").alias("node")))
 
 
 @query()
@@ -286,12 +288,12 @@ def cosine_topk(spark, sf_dir):
     return vectors.cosine_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _QUERY_VECTOR, 10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("""WITH d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS d FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label <> 0),
+@query("""WITH d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS k FROM d)
 SELECT query, max(CASE WHEN k = 1 THEN neighbour END) AS best, round(max(CASE WHEN k = 1 THEN d END), 6) AS d1, round(max(CASE WHEN k = 2 THEN d END), 6) AS d2, max(CASE WHEN k = 1 THEN d END) < 0.97 * max(CASE WHEN k = 2 THEN d END) AS clear FROM r WHERE k <= 2 GROUP BY query""")
 def knn2_ratio_test(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    out = vectors.nearest_two(e.where("label = 0"), e.where("label <> 0"), "vec_id", "embedding")
+    out = vectors.nearest_two(e, e, "vec_id", "embedding", others=True)
     return out.select("query", "best", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), (F.col("d1") < 0.97 * F.col("d2")).alias("clear"))
 
 

@@ -81,12 +81,11 @@ def normalise_names(spark, sf_dir):
 
 @query(r"""WITH r AS (SELECT doc_id, 'May ' || (doc_id % 28 + 1) || ' 1936 x' AS d, lang || ' ;  ' || source AS n, source AS p, regexp_replace(text, '\s', ' ', 'g') AS t, ' ' || lang || ' ; ' || source || ' ' AS g FROM documents)
 SELECT doc_id, 'May ' || (doc_id % 28 + 1) || ', 1936' AS date, regexp_replace(n, '\s*;\s*', ' & ', 'g') AS names, p AS place,
- trim(regexp_replace(regexp_replace(replace(t, '"', ''''), '([,;.])([^\s,;.])', '\1 \2', 'g'), '\s+', ' ', 'g')) AS description, lang || ';' || source AS tags
-FROM r JOIN documents USING (doc_id) WHERE NOT regexp_matches(r.t, '[,;.][,;.]')""")
+ trim(regexp_replace(regexp_replace(regexp_replace(replace(t, '"', ''''), '([,;.])(\S)', '\1 \2', 'g'), '([,;.])(\S)', '\1 \2', 'g'), '\s+', ' ', 'g')) AS description, lang || ';' || source AS tags
+FROM r JOIN documents USING (doc_id)""")
 def clean_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     plain = F.regexp_replace("text", r"\s", " ")
-    d = d.where(~plain.rlike("[,;.][,;.]"))
     fields = F.array(F.concat(F.lit("May "), (F.col("doc_id") % 28 + 1).cast("string"), F.lit(" 1936 x")), F.concat("lang", F.lit(" ;  "), "source"), F.col("source"), plain, F.concat(F.lit(" "), "lang", F.lit(" ; "), "source", F.lit(" ")), F.lit("extra"))
     r = text.clean_newspaper_row(fields)
     return d.select("doc_id", *(r[i].alias(n) for i, n in enumerate(["date", "names", "place", "description", "tags"])))

@@ -12,7 +12,7 @@ def windowed_rate(events: DataFrame, keys: list[str], ts: str, value: str, lengt
     w = events.withWatermark(ts, late).groupBy(F.window(ts, length, step).alias("w"), *keys)
     first, last = F.min(F.struct(ts, value)), F.max(F.struct(ts, value))
     out = w.agg(F.count("*").alias("n"), first.alias("a"), last.alias("b"))
-    took = F.unix_micros(F.col("b")[ts]) / 1e6 - F.unix_micros(F.col("a")[ts]) / 1e6
+    took = (F.unix_micros(F.col("b")[ts]) - F.unix_micros(F.col("a")[ts])) / F.lit(1e6)
     rate = F.when(took > 0, (F.col("b")[value] - F.col("a")[value]) / took)
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", rate.alias("rate"))
 
