@@ -92,7 +92,8 @@ def _judged(docs: DataFrame, at: str) -> DataFrame:
     out = out.select(*docs.columns, c("language"), c("n"), c("c1"), c("len"), F.round(js_chars, 6).alias(f"{at}js_chars"), F.round(js_words, 6).alias(f"{at}js_words"))
     off_chars = (c("len") >= MIN_CHARS) & (c("js_chars") > MAX_JS_CHARS)
     off_words = (c("n") >= MIN_WORDS) & (c("language") != "other") & (c("js_words") > MAX_JS_WORDS)
-    return out.select("*", ((c("len") > c("c1")) & ~off_chars & ~off_words).alias(f"{at}keep"))
+    # one CASE: conjuncts would be pushed under the join one by one, each with a copy of all the patterns above
+    return out.select("*", F.when(c("len") <= c("c1"), False).when(off_chars, False).when(off_words, False).otherwise(True).alias(f"{at}keep"))
 
 
 def quality_scores(docs: DataFrame) -> DataFrame:
