@@ -35,6 +35,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few short columns that are broadcast at most, some MB.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table, marked for broadcast where it has at most ``most`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

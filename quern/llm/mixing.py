@@ -10,7 +10,9 @@ Scale: no source is ever sorted by one task. Keys fall into ``BUCKETS`` ordered
 buckets; tokens are summed by source and bucket, the small table of sums is
 running-summed, and only the one bucket a source's budget ends in is sorted by
 document. This gives one cut-off key a source, and the documents are then chosen
-by a projection over the scan: their text isn't shuffled.
+by a projection over the scan: their text isn't shuffled, as long as the
+cut-offs are few enough to be broadcast (checked by a count; a shuffle join with
+splitting of skewed keys otherwise).
 
 Nulls and edges: a null source is a source of its own. A null or blank text has
 no tokens; it costs nothing and is taken like any other row. Rows with equal key
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_TOKENS_SQL, fresh, materialise, word_tokens
+from quern.llm.common import WORD_TOKENS_SQL, broadcast_if_small, fresh, materialise, word_tokens
 
 ALPHA, BUDGET_SHARE, SEED, BUCKETS = 0.5, 0.8, "mix-1", 16384
 WEIGHT_FLOOR = 0.05
@@ -79,7 +81,7 @@ def cutoffs(docs: DataFrame, targets: dict[str, float] | None = None, budget_sha
     edge = sums.join(budgets, sums.source.eqNullSafe(budgets.s))
     first_over = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))))
     edge = edge.groupBy("s", "epochs", "rest").agg(first_over.alias("e"))
-    edge = materialise(edge.select("s", "epochs", "rest", F.col("e.bucket").alias("b"), F.col("e.before").alias("before")))
+    edge = broadcast_if_small(materialise(edge.select("s", "epochs", "rest", F.col("e.bucket").alias("b"), F.col("e.before").alias("before"))))
     # only the bucket that the budget ends in is sorted by document
     docs_there = _keyed(docs.select("doc_id", "source", "text"), seed)
     docs_there = docs_there.join(edge, docs_there.source.eqNullSafe(edge.s) & (docs_there.bucket == edge.b))
@@ -93,8 +95,9 @@ def cutoffs(docs: DataFrame, targets: dict[str, float] | None = None, budget_sha
 
 def _epochs(docs: DataFrame, copies: str, targets: dict[str, float] | None, budget_share: float, seed: str) -> DataFrame:
     """docs with the number of times each is taken."""
-    cuts = materialise(cutoffs(docs, targets, budget_share, seed))
+    cuts = broadcast_if_small(materialise(cutoffs(docs, targets, budget_share, seed)))
     s, epochs, b, last, key = (fresh(docs, n) for n in ("s", "epochs", "b", "last", "key"))
+    # a shuffle by source would put the text of the largest one in a single task
     cuts = cuts.select(F.col("source").alias(s), F.col("epochs").alias(epochs), F.col("edge_bucket").alias(b), F.col("cutoff").alias(last))
     out = docs.withColumn(key, F.round(-F.log(_unit(F.col("doc_id"), seed)) / quality_weight(F.col("text")), 12))
     out = out.join(cuts, out["source"].eqNullSafe(cuts[s]))
