@@ -10,8 +10,9 @@ doesn't depend on any order of the lines.
 
 Scale: a leaf in fewer than ``MIN_DOCS`` documents can't hold a recurring
 template, so the first pass counts documents by a 64-bit leaf key and only lines
-of the surviving leaves are ever split into tokens. The text is joined once with
-the line numbers to drop.
+of the surviving leaves are ever split into tokens. A 64-bit key of id and text
+stands for the document in all shuffles by token. The text is joined once with the
+line numbers to drop.
 
 A document that would lose more than ``COPY_SHARE`` of its characters is a copy
 of other documents rather than a document with boilerplate; it stays whole and
@@ -37,8 +38,8 @@ VARIABLE = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (hash of the text), pos, line (trimmed, not blank), leaf."""
-    out = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, tk (hash of id and text), pos, line (trimmed, not blank), leaf."""
+    out = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     out = out.withColumn("line", F.trim("line")).where(F.col("line") != "")
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     lead = F.regexp_replace(F.substring_index("line", " ", LEAD), r"\S*\d\S*", VARIABLE)
@@ -51,7 +52,7 @@ def _n_docs(doc_id: str = "doc_id") -> Column:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, pos and length of each line whose template recurs."""
+    """tk, pos and length of each line whose template recurs."""
     leaves = _lines(docs.select("doc_id", "text")).groupBy("leaf").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf")
     kept = _lines(docs.select("doc_id", "text")).join(leaves, "leaf", "left_semi")
     kept = materialise(kept.select("doc_id", "tk", "pos", "leaf", F.length("line").alias("len"), F.split("line", " ").alias("tokens")))
@@ -60,25 +61,26 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     tokens = kept.select("doc_id", "tk", "pos", "leaf", F.posexplode(rest).alias("at", "token"))
     tokens = tokens.where(~F.col("token").rlike(r"\d")).withColumn("key", F.xxhash64("leaf", "at", "token"))
     constant = tokens.groupBy("key").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("key")
-    # the template is the sum of its constant tokens' keys, which hold leaf and position
-    found = tokens.select("doc_id", "tk", "pos", "leaf", "key").join(constant, "key", "left_semi").groupBy("doc_id", "tk", "pos", "leaf")
+    # the template is the set of its constant tokens' keys, which hold leaf and position; tk and pos stand for a line, and nothing else of it travels with its tokens
+    found = tokens.select("tk", "pos", "key").join(constant, "key", "left_semi").groupBy("tk", "pos")
     found = found.agg(F.countDistinct("key").alias("n_const"), F.xxhash64(F.sort_array(F.collect_set("key"))).alias("template"))
 
     size = F.size("tokens")
-    bare = kept.select("doc_id", "tk", "pos", "leaf", "len", size.alias("n_tokens"), F.aggregate(F.slice("tokens", 1, LEAD), F.lit(0), lambda a, t: a + F.when(t.rlike(r"\d"), 0).otherwise(1)).alias("n_lead")).distinct()
-    on = [bare.doc_id.eqNullSafe(found.doc_id), bare.tk == found.tk, bare.pos == found.pos, bare.leaf == found.leaf]
-    lines = bare.join(found, on, "left").select(bare.doc_id, bare.tk, bare.pos, bare.leaf, "len", "n_tokens", (F.col("n_lead") + F.coalesce("n_const", F.lit(0))).alias("n_const"), F.coalesce("template", F.lit(0)).alias("template"))
+    bare = kept.select("doc_id", "tk", "pos", "leaf", "len", size.alias("n_tokens"), F.aggregate(F.slice("tokens", 1, LEAD), F.lit(0), lambda a, t: a + F.when(t.rlike(r"\d"), 0).otherwise(1)).alias("n_lead"))
+    # rows that repeat id and text have equal lines
+    bare = bare.groupBy("tk", "pos").agg(*(F.first(c).alias(c) for c in ("doc_id", "leaf", "len", "n_tokens", "n_lead")))
+    lines = bare.join(found, ["tk", "pos"], "left").select("doc_id", "tk", "pos", "leaf", "len", "n_tokens", (F.col("n_lead") + F.coalesce("n_const", F.lit(0))).alias("n_const"), F.coalesce("template", F.lit(0)).alias("template"))
     lines = lines.where(F.col("n_const") >= SIMILARITY * F.col("n_tokens"))
     templates = lines.groupBy("leaf", "template").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf", "template")
-    return lines.join(templates, ["leaf", "template"], "left_semi").select("doc_id", "tk", "pos", "len")
+    return lines.join(templates, ["leaf", "template"], "left_semi").select("tk", "pos", "len")
 
 
 def _with_drops(docs: DataFrame, drop: str, n_lines: str, lost: str, text: str) -> DataFrame:
     """docs with the line numbers to drop, counts, and the text that is left."""
-    key, did = fresh(docs, "tk"), fresh(docs, "id")
-    drops = recurring_lines(docs).groupBy("doc_id", "tk").agg(F.sort_array(F.collect_list("pos")).alias(drop), F.sum("len").alias(lost))
-    drops = drops.withColumnRenamed("doc_id", did).withColumnRenamed("tk", key)
-    out = docs.join(drops, docs.doc_id.eqNullSafe(drops[did]) & (F.xxhash64(docs.text) == drops[key]), "left").drop(key, did)
+    key = fresh(docs, "tk")
+    drops = recurring_lines(docs).groupBy("tk").agg(F.sort_array(F.collect_list("pos")).alias(drop), F.sum("len").alias(lost))
+    drops = drops.withColumnRenamed("tk", key)
+    out = docs.join(drops, F.xxhash64(docs.doc_id, docs.text) == drops[key], "left").drop(key)
     lines = F.split("text", "\n")
     whole = F.length(F.regexp_replace("text", "\n", ""))
     out = out.withColumn(lost, F.coalesce(lost, F.lit(0)).cast("long"))
