@@ -11,7 +11,8 @@ doesn't depend on any order of the lines.
 Scale: a leaf in fewer than ``MIN_DOCS`` documents can't hold a recurring
 template, so the first pass counts documents by a 64-bit leaf key and only lines
 of the surviving leaves are ever split into tokens. A 64-bit key of id and text
-stands for the document in all shuffles by token. The text is joined once with the
+stands for the document in all shuffles by token. Up to ``BROADCAST_LEAVES``
+surviving leaves (counted) are broadcast; more are joined by a shuffle of lines. The text is joined once with the
 line numbers to drop.
 
 A document that would lose more than ``COPY_SHARE`` of its characters is a copy
@@ -31,10 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, materialise
+from quern.llm.common import broadcast_if_small, fresh, materialise
 
 LEAD, MIN_DOCS, SIMILARITY, COPY_SHARE = 3, 5, 0.8, 0.6
 VARIABLE = "<*>"
+#: Leaf keys (8 bytes each) that are broadcast at most.
+BROADCAST_LEAVES = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -54,6 +57,8 @@ def _n_docs(doc_id: str = "doc_id") -> Column:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """tk, pos and length of each line whose template recurs."""
     leaves = _lines(docs.select("doc_id", "text")).groupBy("leaf").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf")
+    # the lines of all other leaves end at the scan; with more leaves the lines are shuffled to them
+    leaves = broadcast_if_small(materialise(leaves), BROADCAST_LEAVES)
     kept = _lines(docs.select("doc_id", "text")).join(leaves, "leaf", "left_semi")
     kept = materialise(kept.select("doc_id", "tk", "pos", "leaf", F.length("line").alias("len"), F.split("line", " ").alias("tokens")))
 
