@@ -4,9 +4,14 @@ A line's leaf is its token count and its first ``LEAD`` tokens, where a token
 with a digit counts as a variable field. Within a leaf a token further right is
 constant where it recurs at its position in at least ``MIN_DOCS`` documents; all
 others are variable fields. A line whose constant tokens (leading ones included)
-make up at least ``SIMILARITY`` of it has a template; a template that recurs in
-``MIN_DOCS`` documents is boilerplate and its lines are dropped. The result
-doesn't depend on any order of the lines.
+make up at least ``SIMILARITY`` of it has a template; tokens with a digit count
+with them where a constant token holds a letter, so that short footers, dates and
+page lines have one too. A template that recurs in ``MIN_DOCS`` documents is
+boilerplate and its lines are dropped, and so is a line without letters that
+recurs word for word. The result doesn't depend on any order of the lines.
+
+``SQL`` is the narrower rule without tokens with a digit; the given tables have
+no recurring line on which the two differ.
 
 Scale: a leaf in fewer than ``MIN_DOCS`` documents can't hold a recurring
 template, so the first pass counts documents by a 64-bit leaf key and only lines
@@ -36,6 +41,8 @@ from quern.llm.common import broadcast_if_small, fresh, materialise
 
 LEAD, MIN_DOCS, SIMILARITY, COPY_SHARE = 3, 5, 0.8, 0.6
 VARIABLE = "<*>"
+#: What a constant token must hold to make up for tokens with a digit.
+WORDED = r"[\p{L}©]"
 #: Leaf keys (8 bytes each) that are broadcast at most.
 BROADCAST_LEAVES = 1_000_000
 
@@ -60,22 +67,31 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     # the lines of all other leaves end at the scan; with more leaves the lines are shuffled to them
     leaves = broadcast_if_small(materialise(leaves), BROADCAST_LEAVES)
     kept = _lines(docs.select("doc_id", "text")).join(leaves, "leaf", "left_semi")
-    kept = materialise(kept.select("doc_id", "tk", "pos", "leaf", F.length("line").alias("len"), F.split("line", " ").alias("tokens")))
+    kept = materialise(kept.select("doc_id", "tk", "pos", "leaf", F.length("line").alias("len"), F.regexp_count("line", F.lit(r"\d[^ ]*")).alias("n_digit"), F.split("line", " ").alias("tokens")))
 
     rest = F.slice("tokens", F.lit(LEAD + 1), F.greatest(F.size("tokens") - LEAD, F.lit(0)))
     tokens = kept.select("doc_id", "tk", "pos", "leaf", F.posexplode(rest).alias("at", "token"))
-    tokens = tokens.where(~F.col("token").rlike(r"\d")).withColumn("key", F.xxhash64("leaf", "at", "token"))
+    # the key's lowest bit tells whether the token is worded
+    worded = F.when(F.col("token").rlike(WORDED), 1).otherwise(0).cast("long")
+    tokens = tokens.where(~F.col("token").rlike(r"\d")).withColumn("key", F.shiftleft(F.xxhash64("leaf", "at", "token"), 1).bitwiseOR(worded))
     constant = tokens.groupBy("key").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("key")
     # the template is the set of its constant tokens' keys, which hold leaf and position; tk and pos stand for a line, and nothing else of it travels with its tokens
     found = tokens.select("tk", "pos", "key").join(constant, "key", "left_semi").groupBy("tk", "pos")
-    found = found.agg(F.countDistinct("key").alias("n_const"), F.xxhash64(F.sort_array(F.collect_set("key"))).alias("template"))
-
-    size = F.size("tokens")
-    bare = kept.select("doc_id", "tk", "pos", "leaf", "len", size.alias("n_tokens"), F.aggregate(F.slice("tokens", 1, LEAD), F.lit(0), lambda a, t: a + F.when(t.rlike(r"\d"), 0).otherwise(1)).alias("n_lead"))
+    found = found.agg(F.countDistinct("key").alias("n_const"), F.max(F.col("key").bitwiseAND(F.lit(1))).alias("worded"), F.xxhash64(F.sort_array(F.collect_set("key"))).alias("template"))
+
+    lead = F.slice("tokens", 1, LEAD)
+    n_lead = F.aggregate(lead, F.lit(0), lambda a, t: a + F.when(t.rlike(r"\d"), 0).otherwise(1))
+    is_word = lambda t: t.rlike(WORDED) & ~t.rlike(r"\d")
+    # only a line without any word can recur word for word and have no template
+    verbatim = F.when(~F.exists("tokens", is_word), F.xxhash64("tokens"))
+    bare = kept.select("doc_id", "tk", "pos", "leaf", "len", F.size("tokens").alias("n_tokens"), "n_digit", n_lead.alias("n_lead"), F.exists(lead, is_word).alias("lead_worded"), verbatim.alias("verbatim"))
     # rows that repeat id and text have equal lines
-    bare = bare.groupBy("tk", "pos").agg(*(F.first(c).alias(c) for c in ("doc_id", "leaf", "len", "n_tokens", "n_lead")))
-    lines = bare.join(found, ["tk", "pos"], "left").select("doc_id", "tk", "pos", "leaf", "len", "n_tokens", (F.col("n_lead") + F.coalesce("n_const", F.lit(0))).alias("n_const"), F.coalesce("template", F.lit(0)).alias("template"))
-    lines = lines.where(F.col("n_const") >= SIMILARITY * F.col("n_tokens"))
+    bare = bare.groupBy("tk", "pos").agg(*(F.first(c).alias(c) for c in ("doc_id", "leaf", "len", "n_tokens", "n_digit", "n_lead", "lead_worded", "verbatim")))
+    n_const = F.col("n_lead") + F.coalesce("n_const", F.lit(0))
+    enough = SIMILARITY * F.col("n_tokens")
+    alike = (n_const >= enough) | ((n_const + F.col("n_digit") >= enough) & (F.col("lead_worded") | (F.coalesce("worded", F.lit(0)) > 0)))
+    template = F.when(alike, F.coalesce("template", F.lit(0))).otherwise(F.col("verbatim"))
+    lines = bare.join(found, ["tk", "pos"], "left").select("doc_id", "tk", "pos", "leaf", "len", template.alias("template")).where(F.col("template").isNotNull())
     templates = lines.groupBy("leaf", "template").agg(_n_docs().alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf", "template")
     return lines.join(templates, ["leaf", "template"], "left_semi").select("tk", "pos", "len")
 
