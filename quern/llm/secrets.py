@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, a random forest against false positives.
 
-A candidate is a run of 16 or more token characters with a digit among them, or
-the value of an assignment to a telling name. The forest judges it by its length,
+A candidate is a run of 16 or more token characters with a digit among them, the
+value (quoted or not) of an assignment to a telling name or of such a key in
+JSON, what follows ``Bearer``, or the password in a URL. Of candidates that are
+secrets and overlap, the first and longest is the finding. The forest judges it by its length,
 its character transitions (changes between classes, surprise of its letter
 pairs), the part of it that dictionary words cover, whether it lies on a path or
 address, and the words next to it.
@@ -28,6 +30,8 @@ import random
 import re
 import string
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -36,12 +40,18 @@ from pyspark.sql import functions as F
 
 MAX_FINDINGS, TREES, DEPTH, THRESHOLD = 4000, 40, 10, 0.5
 CONTEXT = 48
-_RUN = r"[A-Za-z0-9+/=_\-]"
-#: A run with a digit, or a quoted value after a telling name and = or :
-PATTERN = (
-    rf"(?<!{_RUN})(?=[A-Za-z+/=_\-]*+\d){_RUN}{{16,}}+"
-    r"|(?i:(?<=password|passwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{6,}[\"'])"
-)
+_RUN = r"[A-Za-z0-9+/_\-]"
+_NAME = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\- ]?key|auth(?:orization|entication)?|credential|bearer|private(?:[_\- ]?key)?|access[_\- ]?key|(?<![A-Za-z])key)"
+#: Java and Python read these alike; a group holds the candidate where it isn't the whole match.
+PATTERNS = [
+    # a run with a digit; = is only padding at its end
+    rf"(?<!{_RUN})(?=[A-Za-z+/_\-]*+\d){_RUN}{{16,}}+={{0,2}}",
+    # a value after a telling name and a sign; the value isn't consumed, as it may hold a name and sign of its own
+    rf"{_NAME}(?:[_\-]\w{{1,16}}|[A-Z]\w{{1,16}}|\d{{1,3}}|s)?[\"'`]?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}(?=\"([^\"\s]{{6,}})\"|'([^'\s]{{6,}})'|`([^`\s]{{6,}})`|([^\s\"'`<>,;&]{{5,}}[^\s\"'`<>,;&.:]))",
+    r"(?i:bearer)\s{1,3}[\"'`]?([A-Za-z0-9+/_.~\-]{16,}={0,2})",
+    r"[A-Za-z][A-Za-z0-9+.\-]{1,15}://[^\s:/@\"']*:([^\s@/\"']{2,})@(?=[\w\[])",
+]
+_COMPILED = [re.compile(p) for p in PATTERNS]
 _DICTIONARY = """about access account admin after again agent alpha apple application archive backup bench beta block branch build button cache
 cancel change changeme channel checksum class client cloud code commit config connect content control copy count cover create customer data database date
 debug default delete deploy design detail device digest docs document domain download dummy edit email enable error event example fake false field file filter
@@ -58,10 +68,11 @@ _WORD_RE = re.compile("|".join(_WORDS))
 _TELLING = re.compile(r"(?i)pass(?:word|wd|phrase)?|secret|token|api[_\- ]?key|auth|credential|bearer|private|access[_\- ]?key|\bkey\b|pwd")
 _HARMLESS = re.compile(r"(?i)commit|sha-?\d*|md5|checksum|digest|revision|etag|uuid|guid|hash|version|example|sample|test|build|isbn|card|order|phone|call|invoice|account|tracking|image|file|src|href|path|fingerprint|integrity")
 _ASSIGN = re.compile(r"[=:]\s*[\"'`]?$")
+_IN_URL = re.compile(r"://[^\s/@]*:$")
 _CLASS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 #: Letter pairs that are frequent in words of several languages
 _PAIRS = set("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie ge sc un ne nt la ue os do ad ci qu ai eu au oi".split())
-FEATURES = 16
+FEATURES = 17
 
 
 def features(candidate: str, before: str, after: str) -> list[float]:
@@ -91,6 +102,7 @@ def features(candidate: str, before: str, after: str) -> list[float]:
         float(bool(_ASSIGN.search(before))),
         float(bool(_HARMLESS.search(words))),
         len(letters) / max(n, 1),
+        float(bool(_IN_URL.search(before) and after.startswith("@"))),
     ]
 
 
@@ -157,17 +169,27 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
     syllable = ["an", "ber", "cion", "de", "en", "er", "ge", "in", "ka", "la", "mo", "ne", "on", "re", "st", "ta", "th", "tion", "ung", "ve"]
     word = lambda: "".join(r.choices(syllable, k=r.randint(1, 4)))
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 7)))
-    names = ["token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "private_key", "bearer"]
+    names = ["token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "private_key", "bearer", "pwd", "passphrase", "dbPassword", "credential"]
     dictionary = lambda: r.choice(_DICTIONARY)
 
     def secret() -> tuple[str, str, str]:
         value = r.choice([lambda: hexed(r.choice([32, 40, 40, 48, 64])), lambda: mixed(r.randint(20, 44)), lambda: mixed(r.randint(24, 60), "+/") + "=" * r.randint(0, 2), lambda: r.choice(["sk_live_", "ghx_", "pat-", "xoxz-"]) + mixed(r.randint(20, 40)), lambda: mixed(r.randint(16, 24), "_-")])()
-        quote = r.choice(['"', "'", '"', ""])
-        lead = r.choice([f"{r.choice(names)}{r.choice([' = ', '=', ': ', ' := '])}{quote}", f"Authorization: Bearer {quote}", f"export {r.choice(names).upper()}={quote}"])
-        return value, f"{prose()} {lead}", f"{quote} {prose()}"
+        lead = r.randrange(8)
+        if lead > 5:  # passwords and keys of letters
+            value = r.choice([lambda: word() + word() + str(r.randint(10, 9999)) + r.choice(["", "", "!", "#"]), lambda: word().title() + r.choice("!@#$%_") + str(r.randint(1, 999)) + word(), lambda: mixed(r.randint(8, 15)), lambda: "".join(r.choices(string.ascii_letters, k=r.randint(20, 44)))])()
+        if lead == 7 and r.random() < 0.4:
+            scheme = r.choice(["postgres", "mysql", "https", "amqp", "redis", "mongodb+srv"])
+            return value.replace("@", "!"), f"{prose()} {scheme}://{r.choice(['user', 'admin', 'root', word()])}:", f"@{r.choice(['host', 'localhost', 'db.' + word() + '.com'])}/{word()} {prose()}"
+        name = r.choice([str, str, str.upper, str.title])(r.choice(names))
+        if lead % 3 == 0:
+            return value, f"{prose()} {{\"{name}\": \"", f"\"}} {prose()}"
+        quote = r.choice(['"', "'", ""])
+        if lead == 4:
+            return value, f"{prose()} Authorization: Bearer {quote}", f"{quote} {prose()}"
+        return value, f"{prose()} {r.choice(['', '', 'export '])}{name}{r.choice([' = ', '=', '=', ': ', ':', ' := '])}{quote}", f"{quote} {prose()}"
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(8)
+        kind = r.randrange(11)
         if kind == 0:
             return hexed(r.choice([32, 40, 40, 64])), f"{prose()} {r.choice(['commit ', 'sha1: ', 'md5sum ', 'checksum = ', 'digest: sha256:', 'revision ', 'etag: '])}", f" {prose()}"
         if kind == 1:
@@ -184,6 +206,14 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
             return v, f"{prose()} {r.choice(names)} = \"", f"\" {prose()}"
         if kind == 6:
             return "".join(word() for _ in range(r.randint(5, 9))) + str(r.randint(0, 9)), f"{prose()} ", f" {prose()}"
+        if kind == 8:  # what a telling name is said to be
+            quote = r.choice(['"', "", "", ""])
+            v = r.choice([lambda: word() + word() + word(), lambda: "".join(r.sample(_DICTIONARY, 2)), lambda: f"{dictionary()}_{dictionary()}", lambda: r.choice(["Bearer", "required", "optional", "changeme", "password", "undefined", "placeholder", "your_password"])])()
+            return v, f"{prose()} {r.choice(names)}{r.choice([': ', ' = ', ': ', '='])}{quote}", f"{quote} {prose()}"
+        if kind == 9:  # code that reads one
+            return r.choice([f"{word()}.{word()}{r.choice(['', '()', '[0]'])}", f"get_{word()}{word()}()", f"os.environ[{word().upper()}]", f"${{{word().upper()}_{word().upper()}}}", f"https://{word()}.{word()}.com/{word()}{word()}"]), f"{prose()} {r.choice(names)}{r.choice([' = ', ': ', '='])}", f" {prose()}"
+        if kind == 10:
+            return r.choice(["password", "pass", "pw", "secret", "changeme", "xxxx", "****", "$PASSWORD", "example"]), f"{prose()} {r.choice(['postgres', 'mysql', 'https'])}://{r.choice(['user', 'username', word()])}:", f"@{r.choice(['host', 'localhost', 'example.com'])}/ {prose()}"
         return hexed(r.choice([20, 24, 32])) + r.choice(["", "_thumb", "-large"]), f"{prose()} /images/{dictionary()}/", f".jpg {prose()}"
 
     return [(*(secret() if i % 2 else other()), bool(i % 2)) for i in range(n)]
@@ -194,45 +224,42 @@ def train(findings: list[tuple[str, str, str, bool]] | None = None) -> Forest:
     return Forest(np.array([features(*r[:3]) for r in rows]), np.array([float(r[3]) for r in rows]))
 
 
-_ASSIGNED = re.compile(r"^\s*[=:]\s*[\"']")
-
-
-def _trimmed(candidate: str, before: str, after: str) -> tuple[str, str, str]:
-    """An assignment's value without the sign and quotes, which join the context."""
-    m = _ASSIGNED.match(candidate)
-    if m and candidate[-1] in "\"'":
-        return candidate[m.end() : -1], before + m[0], candidate[-1] + after
-    return candidate, before, after
+def candidates(text: str) -> list[tuple[int, str]]:
+    """Start and text of each candidate, each span once; a value with an assignment of its own gives way to it."""
+    spans = [{m.span(m.lastindex or 0) for m in p.finditer(text)} for p in _COMPILED]
+    named = sorted(set().union(*spans[1:]))
+    named = [x for x, after in zip(named, [*named[1:], None]) if not (after and x[0] < after[0] < x[1])]
+    return [(a, text[a:b]) for a, b in sorted({*spans[0], *named}, key=lambda x: (x[0], -x[1]))]
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start (0-based character), secret, probability of every finding."""
-    pattern = re.compile(PATTERN_PY)
-
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found, x = [], []
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                for m in pattern.finditer(text):
-                    before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-                    value, before, after = _trimmed(m[0], before, after)
-                    found.append((doc_id, m.start() + m[0].find(value), value))
+            for row, (doc_id, text) in enumerate(zip(rows["doc_id"], rows["text"])):
+                for start, value in candidates(text):
+                    end = start + len(value)
+                    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+                    found.append((row, doc_id, start, value))
                     x.append(features(value, before, after))
             if found:
                 p = np.round(forest.probability(np.array(x)), 6)
-                out = pd.DataFrame(found, columns=["doc_id", "start", "secret"])
-                out["probability"] = p
-                yield out[p >= threshold].astype({"doc_id": rows["doc_id"].dtype})
+                # a finding within or across the one before it is the same secret
+                kept, row, end = [], -1, 0
+                for k in np.flatnonzero(p >= threshold):
+                    if found[k][0] != row or found[k][2] >= end:
+                        kept.append(k)
+                        row, end = found[k][0], found[k][2] + len(found[k][3])
+                out = pd.DataFrame([found[k][1:] for k in kept], columns=["doc_id", "start", "secret"])
+                out["probability"] = p[kept]
+                yield out.astype({"doc_id": rows["doc_id"].dtype})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    likely = docs.select("doc_id", "text").where(F.col("text").rlike(PATTERN))
+    likely = docs.select("doc_id", "text").where(reduce(or_, (F.col("text").rlike(p) for p in PATTERNS)))
     return likely.mapInPandas(judged, f"doc_id {kind}, start int, secret string, probability double")
 
 
-#: The same pattern for Python, whose look-behind is of one length; the name is part of the context there.
-PATTERN_PY = rf"(?<!{_RUN})(?=[A-Za-z+/=_\-]*+\d){_RUN}{{16,}}+|(?i:(?:(?<=password)|(?<=passwd)|(?<=secret)|(?<=token)|(?<=apikey)|(?<=api_key)|(?<=api-key))\s{{0,3}}[=:]\s{{0,3}}[\"'][^\"'\s]{{6,}}[\"'])"
-
-
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train())
 
