@@ -4,11 +4,14 @@ A byte-pair encoder splits a text into pieces by a pattern and merges each piece
 on its own. Inside a piece the encoding of a prefix is the encoding of a shorter
 prefix and one more token, the only one that stays unmerged next to the token
 before it. So the state of a prefix is its count and last token, and the state
-at a byte follows from earlier states. Pieces recur, so their counts are kept in
-a bounded table; a piece is never encoded as a whole.
+at a byte follows from earlier states. Where the encoding of the whole piece ends
+a token, no merge crosses, so the prefix there has just the tokens up to it; only
+the prefixes that end within a token are left to the recurrence. Pieces recur, so
+their counts are kept in a bounded table.
 
 The counts of a document are stored as one signed byte for each character: the
-change of the count against the prefix before it. ``count_at``, ``cut_at`` and
+change of the count against the prefix before it (at most 4 up, and down by less
+than the bytes of the longest token, which must be under 128). ``count_at``, ``cut_at`` and
 ``fits`` answer from that column alone and never see the text again.
 
 The pattern looks ahead in two places, and the counts follow: a run of white
@@ -28,11 +31,13 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,16 @@ BUDGETS = (128, 512, 2048)
 _KEPT_PIECES = 1_000_000
 _SPLIT = regex.compile(PATTERN)
 _LOOKAHEAD = regex.compile(r"\s\s|'(?:ll|ve|re)")
+#: White space as the encoder has it, and the places where a run of it leaves its last character to the piece after it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]{{2}}")
+_RUN_END = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
+
+
+def _signed_bytes(changes: np.ndarray) -> bytes:
+    if len(changes) and (changes.min() < -128 or changes.max() > 127):
+        raise ValueError("a change of the count doesn't fit a byte")
+    return changes.astype(np.int8).tobytes()
 
 
 class PrefixCounter:
@@ -50,10 +65,27 @@ class PrefixCounter:
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.longest = max(map(len, self.ranks))
+        if max(map(len, self.ranks)) > 128:
+            raise ValueError("a token of over 128 bytes: changes of the count may not fit a byte")
+        #: Lengths of the tokens that end with these two bytes, or with the one.
+        self.lengths: dict[bytes, list[int]] = {}
+        for token in self.ranks:
+            known = self.lengths.setdefault(token[-2:], [])
+            if len(token) > 1 and len(token) not in known:
+                known.append(len(token))
+        # without the look-ahead, which is far slower, runs of white space are split beforehand
+        self.encoder = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN.replace(r"|\s+(?!\S)", ""), mergeable_ranks=self.ranks, special_tokens={})
+        self.token_bytes = {rank: len(token) for token, rank in self.ranks.items()}
         self.stays: dict[tuple[bytes, bytes], bool] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def total(self, text: str) -> int:
+        """Tokens of the whole text."""
+        if not text.isascii():
+            text = text.encode("utf-8", "replace").decode("utf-8")
+        parts = _RUN_END.split(text) if _RUN.search(text) else (text,)
+        return sum(len(self.encoder.encode_ordinary(x)) for x in parts)
+
     def _unmerged(self, left: bytes, right: bytes) -> bool:
         """Whether the merges of left + right end with just these two tokens."""
         known = self.stays.get((left, right))
@@ -81,15 +113,21 @@ class PrefixCounter:
         """Token counts of the piece's prefixes of 1, 2, ... characters."""
         raw = piece.encode("utf-8", "replace")
         n = len(raw)
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        ranks, unmerged = self.ranks, self._unmerged
+        count: list[int] = [0] * (n + 1)
+        last: list[bytes | None] = [b"", *[None] * n]
+        at = 0
+        for k, token in enumerate(self.encoder._core_bpe.encode_single_piece(raw)):
+            start, at = at, at + self.token_bytes[token]
+            count[at], last[at] = k + 1, raw[start:at]
+        ranks, unmerged, lengths = self.ranks, self._unmerged, self.lengths
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = raw[j:i]
-                if token in ranks and (j == 0 or unmerged(last[j], token)):
+            if last[i] is None:
+                for m in (1, *lengths.get(raw[i - 2 : i], ())) if i > 1 else (1,):
+                    j = i - m
                     # the token of a prefix is unique, see the module's text
-                    count[i], last[i] = count[j] + 1, token
-                    break
+                    if j >= 0 and (token := raw[j:i]) in ranks and (j == 0 or unmerged(last[j], token)):
+                        count[i], last[i] = count[j] + 1, token
+                        break
         return [count[i] for i in range(1, n + 1) if i == n or raw[i] & 0xC0 != 0x80]
 
     def _deltas(self, piece: str) -> bytes:
@@ -97,9 +135,12 @@ class PrefixCounter:
         if known is None:
             if len(self.pieces) >= _KEPT_PIECES:
                 self.pieces.clear()
-            known = np.diff(np.array([0, *self.piece_counts(piece)], np.int64)).astype(np.int8).tobytes()
+            counts = self.piece_counts(piece)
             if len(piece) <= 64:
-                self.pieces[piece] = known
+                # a change is over -128 and under 5, by the recurrence
+                known = self.pieces[piece] = bytes([b - a & 0xFF for a, b in zip([0, *counts], counts)])
+            else:
+                known = _signed_bytes(np.diff(np.array(counts, np.int64), prepend=0))
         return known
 
     def deltas(self, text: str) -> bytes:
@@ -128,7 +169,7 @@ class PrefixCounter:
             elif len(piece) == 3 and piece in ("'ll", "'ve", "'re"):
                 fixed[at + 1] = base + self.piece_counts("'")[-1] + self.piece_counts(piece[1])[-1]
             at += len(piece)
-        return np.diff(fixed, prepend=0).astype(np.int8).tobytes()
+        return _signed_bytes(np.diff(fixed, prepend=0))
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -141,6 +182,18 @@ def counter(path: str = VOCABULARY) -> PrefixCounter:
     return _COUNTERS[path]
 
 
+def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
+    """Tokens of the whole text, as a long; null for null."""
+
+    @F.pandas_udf("long")
+    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = counter(path)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else c.total(t)).astype("Int64")
+
+    return total(text)
+
+
 def prefix_deltas(text: Column | str, path: str = VOCABULARY) -> Column:
     """The stored form: a binary with one signed byte for each character."""
 
