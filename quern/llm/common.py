@@ -44,6 +44,26 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: log2 of the bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 26
+
+
+def keep_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be among those of ``keys`` (one column): all that are, and a share of the others.
+
+    The filter is a bitmap of fixed size, in rows of 4 KB, which is broadcast. It
+    grows coarse with the number of keys and never wrong, so that what follows
+    must tell the rest. For joins by shuffle of which most rows find no partner."""
+    at, row, bits = fresh(df, "at"), fresh(df, "row"), fresh(df, "bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    marks = keys.select(place(keys.columns[0]).alias(at)).select(F.shiftright(at, 15).alias(row), F.col(at).bitwiseAND(F.lit(32767)).alias(at))
+    marks = marks.groupBy(row).agg(F.expr(f"bitmap_construct_agg({at})").alias(bits))
+    out = df.withColumn(at, place(key)).withColumn(row, F.shiftright(at, 15)).join(F.broadcast(marks), row)
+    # bit i of a bitmap is bit i % 8 of its byte i / 8
+    byte = f"cast(conv(hex(substring({bits}, cast(({at} & 32767) >> 3 as int) + 1, 1)), 16, 10) as int)"
+    return out.where(F.expr(f"(shiftright({byte}, cast({at} & 7 as int)) & 1) = 1")).select(*df.columns)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

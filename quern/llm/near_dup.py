@@ -9,23 +9,31 @@ leaving out that many values of a chunk is a join key, so each pair under the
 distance shares a key: no pair is missed, and the keys of a document are fixed
 in number.
 
-Groups are the connected components of all such pairs. Equal signatures collapse
-first, then equal buckets; in a bucket a search from each document through those
-not yet reached gives a spanning forest of the pairs within the distance, which
-is linear for a group of copies and has no cap. Edges are merged to components
-by min-label rounds over the shared checkpoint folder.
+Equal signatures collapse first to one class. A key's classes are counted, and
+keys with the same classes count as one bucket. A pair of classes is compared in
+each bucket that holds both and counted in the one of its first common key, so
+that every link counts once. Groups are the connected components of all links.
+
+Scale: no list of a bucket is ever collected. A bucket of more than ``BLOCK``
+classes is dealt to blocks, and each two blocks are a unit of work of their own,
+so a crowded bucket is spread over tasks of bounded size (its comparisons still
+grow with the square of its classes; copies don't count among them). A unit
+returns a row for each of its classes, not its pairs. Components are found by
+min-label rounds over the shared checkpoint folder.
 
 Nulls and edges: texts without a word (null, empty, punctuation) have no
 signature and are in no group; so are rows with a null doc_id, which nothing
 could name. One word makes a signature of its own. Rows that repeat a doc_id are
-one document; ``drop_near_duplicates`` keeps one row of each id, whichever of
+one document, and its texts are linked; ``drop_near_duplicates`` keeps one row of each id, whichever of
 rows that differ sorts first, and all rows with a null id. Ties go to the
-smallest doc_id. Extra columns are ignored or kept as they are.
+smallest doc_id, which may be of any type that has an order. Extra columns are
+ignored or kept as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fresh, materialise
+from quern.llm.common import fresh, keep_likely, materialise
 
 K, BITS, CHUNKS, CHUNK_ERRORS = 50, 16, 10, 1
 PER_CHUNK = K // CHUNKS
@@ -44,7 +52,10 @@ _WORDS = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(1, 1 << 62, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, K, dtype=np.uint64)
-_BLOCK = 4096
+_STEP = 4096
+#: Classes of a bucket that one unit compares with each other, or with as many more.
+BLOCK = 1024
+_INDEX = 63  # the lowest bits of a key tell the chunk and the value left out
 
 
 def signature(text: str | None) -> np.ndarray | None:
@@ -59,8 +70,8 @@ def signature(text: str | None) -> np.ndarray | None:
     pairs = np.unique(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29)))) if len(h) > 1 else h
     pairs ^= pairs >> np.uint64(32)
     least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(pairs), _BLOCK):
-        np.minimum(least, (pairs[i : i + _BLOCK, None] * _MUL + _ADD).min(axis=0), out=least)
+    for i in range(0, len(pairs), _STEP):
+        np.minimum(least, (pairs[i : i + _STEP, None] * _MUL + _ADD).min(axis=0), out=least)
     # of the least value the middle bits, as its high bits are near 0 for long texts
     return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.uint16)
 
@@ -75,7 +86,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
             for j in kept:
                 key = (key ^ sig[:, c * PER_CHUNK + j]) * np.uint64(0xFF51AFD7ED558CCD)
                 key ^= key >> np.uint64(33)
-            out.append(key)
+            out.append(key & ~np.uint64(_INDEX) | np.uint64(len(out)))
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -91,25 +102,60 @@ def keys_udf(signatures: pd.Series) -> pd.Series:
     return pd.Series(list(chunk_keys(np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, K))), index=signatures.index)
 
 
-def spanning_edges(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join just what is connected by pairs within MAX_DIFF."""
-    order = np.argsort(ids, kind="stable")
-    ids, sigs = ids[order], sigs[order]
-    edges, left = [], np.arange(len(ids))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            a = queue.pop()
-            near = (sigs[left] != sigs[a]).sum(axis=1) <= MAX_DIFF
-            edges += [(int(ids[a]), int(ids[b])) for b in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
-    return edges
-
-
-def _bucket_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, K)
-    return pd.DataFrame(spanning_edges(rows["id"].to_numpy(), sigs), columns=["a", "b"], dtype="int64")
+def _links(sigs: np.ndarray, end: np.ndarray, side: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers, each within a unit, that are near duplicates and whose
+    first common key is the bucket's. end: of each row's unit; side: rows of equal
+    side 1 or 2 aren't compared; mask: the bucket's keys by their index."""
+    rows, found = np.arange(len(sigs)), []
+    for d in range(1, len(sigs)):
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        a = rows[(side[rows] == 0) | (side[rows] != side[rows + d])]
+        differ = sigs[a] != sigs[a + d]
+        near = differ.sum(axis=1) <= MAX_DIFF
+        a, chunks = a[near], differ[near].reshape(-1, CHUNKS, PER_CHUNK)
+        if len(a):
+            errors, each = chunks.sum(axis=2), np.arange(len(a))
+            first = (errors <= CHUNK_ERRORS).argmax(axis=1)
+            # the choices leave out the last value first; without an error all choices are common
+            choice = np.where(errors[each, first] == 0, 0, PER_CHUNK - 1 - chunks[each, first].argmax(axis=1))
+            a = a[mask[a] >> first * PER_CHUNK + choice & 1 == 1]
+            found.append((a, a + d))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (rows[:0], rows[:0])
+
+
+def _unit_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, links (counted here), root (least node that it is tied to here): of rows sorted by unit."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        unit = rows[["bucket", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
+        end = np.repeat(np.r_[starts[1:], len(rows)], np.diff(np.r_[starts, len(rows)]))
+        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, K)
+        a, b = _links(sigs, end, rows["side"].to_numpy(), rows["mask"].to_numpy())
+        node = rows["node"].to_numpy()
+        root, before = node.copy(), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
+        links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+        out = pd.DataFrame({"node": node, "links": links, "root": root})
+        return out[links > 0]
+
+    left = None
+    for rows in batches:
+        rows = rows if left is None else pd.concat([left, rows], ignore_index=True)
+        if len(rows):
+            # the last unit may go on in the next batch; a unit has two blocks at most
+            last = rows[["bucket", "i", "j"]].iloc[-1]
+            whole = ((rows["bucket"] != last["bucket"]) | (rows["i"] != last["i"]) | (rows["j"] != last["j"])).to_numpy()
+            left = rows[~whole]
+            if whole.any():
+                yield of(rows[whole])
+    if left is not None and len(left):
+        yield of(left)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,22 +179,50 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, sig of the documents that have both."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     return rows.select("doc_id", signature_udf("text").alias("sig")).where(F.col("sig").isNotNull())
 
 
+def _class_links(classes: DataFrame) -> DataFrame:
+    """node, links, root: rows of the units, for classes (node, sig)."""
+    keyed = classes.select("node", F.explode(keys_udf("sig")).alias("key"))
+    # equal sums of two hashes, equal counts and least nodes: the same classes
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("lo")]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), *same).where("n > 1")
+    index = F.col("key").bitwiseAND(F.lit(_INDEX)).cast("int")
+    buckets = buckets.groupBy("n", "x", "y", "lo").agg(F.min("key").alias("key"), F.expr(f"bit_or(shiftleft(1L, cast(key & {_INDEX} as int)))").alias("mask"))
+    buckets = materialise(buckets.select("key", "mask", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    members = keep_likely(keyed, "key", buckets.select("key")).join(buckets, "key").join(classes, "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = members.select(F.col("key").alias("bucket"), "node", "sig", "mask", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    side = F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2)
+    units = members.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "node", "sig", "mask")
+    units = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return units.mapInPandas(_unit_links, "node long, links long, root long")
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id for every document that has a near duplicate; group_id is the group's least doc_id."""
-    signed = materialise(_signed(docs))
-    # one row for each signature and each document that bears it; the least id stands for the signature
-    signatures = materialise(signed.groupBy("sig").agg(F.min("doc_id").alias("id")))
-    same = signed.join(signatures, "sig").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    keyed = signatures.select("id", F.explode(keys_udf("sig")).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1).select("ids").distinct()
-    members = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
-    # an id can stand for several signatures only where rows repeat it with other texts
-    edges = members.join(signatures, "id").groupBy("bucket").applyInPandas(_bucket_edges, "a long, b long")
-    return components(edges.union(same).distinct()).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    """doc_id, group_id, n_links, n_copies for every document that has a near duplicate.
+
+    group_id: the group's least doc_id; n_links: other signatures within the
+    distance of the document's own; n_copies: documents of its own signature, itself included."""
+    signed = materialise(_signed(docs).distinct())
+    # the class's number is written with it
+    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n_copies"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
+    linked = materialise(_class_links(classes.select("node", "sig")))
+    members = materialise(signed.join(classes.select("sig", "node"), "sig").select("doc_id", "node"))
+    # rows that repeat an id with other texts
+    again = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    edges = linked.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(members.join(again, "doc_id").where("node <> a").select("a", F.col("node").alias("b")))
+    roots = components(edges.distinct())
+    links = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
+    nodes = classes.join(roots.withColumnRenamed("id", "node"), "node", "left").join(links, "node", "left")
+    nodes = materialise(nodes.select("node", "lo", "hi", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    groups = nodes.groupBy("root").agg(F.min("lo").alias("group_id"), F.max("hi").alias("last")).where("group_id <> last").select("root", "group_id")
+    named = nodes.join(groups, "root").select("node", "group_id", "n_links", "n_copies")
+    out = members.join(named, "node").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.sum("n_links").alias("n_links"), F.max("n_copies").alias("n_copies"))
+    return out
 
 
 def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
@@ -185,7 +259,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the group's least doc_id, for every document with a near duplicate."""
+    """doc_id, the group's least doc_id, links and copies, for every document with a near duplicate."""
     return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
