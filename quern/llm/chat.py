@@ -1,4 +1,4 @@
-"""Chat formatting by event-sourced reconstruction.
+r"""Chat formatting by event-sourced reconstruction.
 
 A conversation log is a list of events. Each names a message (``turn``), has a
 sequence number and a kind:
@@ -14,7 +14,12 @@ The fold needs no loop: the state of a message follows from the events after its
 last ``message``, ``edit``, ``regenerate`` or ``delete`` and after the last
 ``regenerate`` of an earlier message. Events are hashed by conversation once;
 the aggregates by message, the window over messages and the final aggregate all
-use that partitioning.
+use that partitioning. A marker within a role or text is escaped by a backslash
+(``<\|im_end|>``), so that no text can open or end a message.
+
+The tables hold whole turns and no log. The query writes the log that a client
+would have sent for them (streamed answers, some of them regenerated, edited
+questions, withdrawn drafts) and folds that; its SQL reads the turns themselves.
 
 Nulls and edges: events with a null conv_id or turn can't be placed and are
 dropped. A null text counts as empty, and a message of which nothing but white
@@ -33,26 +38,42 @@ from pyspark.sql import functions as F
 
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 START, END = "<|im_start|>", "<|im_end|>"
+MARKER, ESCAPED = "<|im_", "<\\|im_"
+#: Characters of a streamed delta.
+CHUNK = 80
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """A log for a table of whole turns (conv_id, turn, role, text). Where rows
-    share a turn, the later ones regenerate it; they come in the order of role and text."""
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
-    again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    """The log of a client that sends whole turns (conv_id, turn, role, text). Where
+    rows share a turn, the later ones set it anew; they come in the order of role and text.
+
+    An answer of the assistant is streamed, every fourth after a half that is
+    regenerated; of other turns every third is half the text at first and then
+    edited; every fifth conversation's turns begin with a draft that is deleted."""
+    rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").distinct()
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    text, which = F.coalesce("text", F.lit("")), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(12))
+    half = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+    event = lambda kind, what, role="role": F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else F.col(role)).alias("role"), what.alias("text"))
+    none, empty = F.expr("cast(array() as array<struct<kind: string, role: string, text: string>>)"), F.lit("")
+    deltas = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / CHUNK).cast("int")), lambda i: event("delta", F.substring(text, i * CHUNK + 1, F.lit(CHUNK)), None))
+    streamed = F.concat(F.array(event("message", empty)), F.when(which % 4 == 0, F.array(event("delta", half, None), event("regenerate", empty))).otherwise(none), deltas)
+    typed = F.when(which % 3 == 0, F.array(event("message", half), event("edit", text))).otherwise(F.array(event("message", text)))
+    draft = F.when(F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0, F.array(event("message", F.lit("draft")), event("delete", empty, None))).otherwise(none)
+    sent = F.concat(draft, F.when(F.col("role") == "assistant", streamed).otherwise(typed))
+    out = rows.select("conv_id", "turn", "n", F.posexplode(sent).alias("step", "e"))
     # a turn's own rows are ordered among themselves, and turns among each other
-    seq = F.struct(F.col("turn").cast("long").alias("turn"), again.cast("long").alias("n"))
-    return rows.select("conv_id", seq.alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    seq = F.struct(F.col("turn").cast("long").alias("turn"), F.col("n").cast("long").alias("n"), F.col("step").cast("long").alias("step"))
+    return out.select("conv_id", seq.alias("seq"), "turn", "e.kind", "e.role", "e.text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: the final messages of events (conv_id, seq, turn, kind, role, text)."""
-    e = events.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "seq", "turn", "kind", "role", "text").distinct()
+    # one shuffle, by conversation, serves all steps
+    e = events.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "seq", "turn", "kind", "role", "text").repartition("conv_id").distinct()
     kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("message")
     order = F.array_position(F.array(*map(F.lit, KINDS)), kind)
     e = e.select("conv_id", "turn", F.struct("seq", order.alias("order"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t")).alias("at"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    # one shuffle, by conversation, serves all steps
-    e = e.repartition("conv_id")
     by_message = Window.partitionBy("conv_id", "turn")
     sets = F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(by_message)
     e = e.withColumn("last_set", sets)
@@ -71,7 +92,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, n_messages, text: one row a conversation, its messages in the order of turns."""
-    one = F.concat(F.lit(START), F.col("role"), F.lit("\n"), F.col("text"), F.lit(END + "\n"))
+    one = F.concat(F.lit(START), F.replace("role", F.lit(MARKER), F.lit(ESCAPED)), F.lit("\n"), F.replace("text", F.lit(MARKER), F.lit(ESCAPED)), F.lit(END + "\n"))
     rendered = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", one.alias("m")))).alias("ms"))
     return rendered.select("conv_id", F.size("ms").alias("n_messages"), F.array_join(F.transform("ms", lambda m: m["m"]), "").alias("text"))
 
@@ -87,7 +108,7 @@ WITH e AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM
 , r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC NULLS LAST, text DESC NULLS LAST) AS k FROM e)
 , m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, text FROM r WHERE k = 1 AND trim(regexp_replace(text, '\s', ' ', 'g')) <> '')
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
-    string_agg('{START}' || role || chr(10) || text || '{END}' || chr(10), '' ORDER BY turn) AS text
+    string_agg('{START}' || replace(role, '{MARKER}', '{ESCAPED}') || chr(10) || replace(text, '{MARKER}', '{ESCAPED}') || '{END}' || chr(10), '' ORDER BY turn) AS text
 FROM m GROUP BY conv_id""",
 }
 QUERIES = {"op5_chat_format": op5_chat_format}
