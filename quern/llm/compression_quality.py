@@ -16,8 +16,11 @@ Nulls and edges: a null, empty or blank text has no score: score and probability
 are null and it isn't kept. Texts under ``MIN_BYTES`` are scored but always kept,
 as a few bytes tell nothing. Repeated rows score alike. Labels with a null
 doc_id or quality are ignored, also labels without a document; a document with
-two labels counts as bad if one of them says so. Without both classes there is
-nothing to learn from, and a ValueError says so. Extra columns are ignored.
+two labels counts as bad if one of them says so. With fewer than two labelled
+texts of either class (empty tables among them) there is nothing to learn from:
+``train`` raises a ValueError, ``fit`` gives no model, and without a model score
+and probability are null and all but blank texts are kept. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -113,8 +116,17 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     return out[0], out[1]
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the labelled documents; None where they are too few."""
+    good, bad = labelled_texts(docs, labels)
+    return train(good, bad) if min(len(good), len(bad)) >= 2 else None
+
+
+def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, probability, keep: one row for each row of docs."""
+    if model is None:
+        none = F.lit(None).cast("double")
+        return docs.select("doc_id", none.alias("score"), none.alias("probability"), F.coalesce(F.col("text").rlike(r"[^\s]"), F.lit(False)).alias("keep"))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.good, model.bad)
@@ -133,7 +145,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, train(*labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return score_documents(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 QUERIES = {"op9_compression_quality": op9_compression_quality}
