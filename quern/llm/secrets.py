@@ -3,13 +3,15 @@
 A candidate is a run of 16 or more token characters with a digit among them, the
 value (quoted or not) of an assignment to a telling name or of such a key in
 JSON, what follows ``Bearer``, or the password in a URL. Of candidates that are
-secrets and overlap, the first and longest is the finding. The forest judges it by its length,
+secrets and overlap, the first and longest is the finding. A token of three parts
+with dots is one. The forest judges it by its length,
 its character transitions (changes between classes, surprise of its letter
 pairs), the part of it that dictionary words cover, whether it lies on a path or
 address, and the words next to it.
 
 Training: labelled findings (candidate, before, after, is_secret). A project has
-its own; without them ``sample_findings`` makes a fixed, seeded set of known
+its own, which ``labelled_findings`` reads from documents and marked places;
+without them ``sample_findings`` makes a fixed, seeded set of known
 shapes: keys, tokens and passwords in assignments against commit ids, checksums,
 UUIDs, numbers, file names, placeholders and long words. At most ``MAX_FINDINGS``
 findings train the forest, which is small and travels with the tasks.
@@ -50,6 +52,7 @@ PATTERNS = [
     rf"{_NAME}(?:[_\-]\w{{1,16}}|[A-Z]\w{{1,16}}|\d{{1,3}}|s)?[\"'`]?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}(?=\"([^\"\s]{{6,}})\"|'([^'\s]{{6,}})'|`([^`\s]{{6,}})`|([^\s\"'`<>,;&]{{5,}}[^\s\"'`<>,;&.:]))",
     r"(?i:bearer)\s{1,3}[\"'`]?([A-Za-z0-9+/_.~\-]{16,}={0,2})",
     r"[A-Za-z][A-Za-z0-9+.\-]{1,15}://[^\s:/@\"']*:([^\s@/\"']{2,})@(?=[\w\[])",
+    rf"(?<!{_RUN})eyJ{_RUN}{{8,}}+\.eyJ{_RUN}{{8,}}+\.{_RUN}{{8,}}+",
 ]
 _COMPILED = [re.compile(p) for p in PATTERNS]
 _DICTIONARY = """about access account admin after again agent alpha apple application archive backup bench beta block branch build button cache
@@ -174,9 +177,12 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
 
     def secret() -> tuple[str, str, str]:
         value = r.choice([lambda: hexed(r.choice([32, 40, 40, 48, 64])), lambda: mixed(r.randint(20, 44)), lambda: mixed(r.randint(24, 60), "+/") + "=" * r.randint(0, 2), lambda: r.choice(["sk_live_", "ghx_", "pat-", "xoxz-"]) + mixed(r.randint(20, 40)), lambda: mixed(r.randint(16, 24), "_-")])()
-        lead = r.randrange(8)
+        lead = r.randrange(9)
+        if lead == 8:
+            value = r.choice([lambda: ".".join(["eyJ" + mixed(r.randint(16, 40)), "eyJ" + mixed(r.randint(24, 90), "-_"), mixed(r.randint(30, 60), "-_")]), lambda: r.choice(["ghp_", "AKIA", "glpat-", "xoxb-"]) + mixed(r.randint(16, 40))])()
+            return value, f"{prose()} {r.choice(['', '', 'token ', 'here is ', 'key '])}", f" {prose()}"
         if lead > 5:  # passwords and keys of letters
-            value = r.choice([lambda: word() + word() + str(r.randint(10, 9999)) + r.choice(["", "", "!", "#"]), lambda: word().title() + r.choice("!@#$%_") + str(r.randint(1, 999)) + word(), lambda: mixed(r.randint(8, 15)), lambda: "".join(r.choices(string.ascii_letters, k=r.randint(20, 44)))])()
+            value = r.choice([lambda: word() + word() + str(r.randint(10, 9999)) + r.choice(["", "", "!", "#"]), lambda: word().title() + r.choice("!@#$%_") + str(r.randint(1, 999)) + word(), lambda: mixed(r.randint(8, 15)), lambda: "".join(r.choices(string.ascii_letters, k=r.randint(20, 44))), lambda: word() + str(r.randint(1, 99)) + r.choice([word(), dictionary()])])()
         if lead == 7 and r.random() < 0.4:
             scheme = r.choice(["postgres", "mysql", "https", "amqp", "redis", "mongodb+srv"])
             return value.replace("@", "!"), f"{prose()} {scheme}://{r.choice(['user', 'admin', 'root', word()])}:", f"@{r.choice(['host', 'localhost', 'db.' + word() + '.com'])}/{word()} {prose()}"
@@ -184,6 +190,8 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
         if lead % 3 == 0:
             return value, f"{prose()} {{\"{name}\": \"", f"\"}} {prose()}"
         quote = r.choice(['"', "'", ""])
+        if lead == 6 and r.random() < 0.4:  # words in quotes
+            value, quote = word() + word() + word(), quote or '"'
         if lead == 4:
             return value, f"{prose()} Authorization: Bearer {quote}", f"{quote} {prose()}"
         return value, f"{prose()} {r.choice(['', '', 'export '])}{name}{r.choice([' = ', '=', '=', ': ', ':', ' := '])}{quote}", f"{quote} {prose()}"
@@ -208,7 +216,7 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
             return "".join(word() for _ in range(r.randint(5, 9))) + str(r.randint(0, 9)), f"{prose()} ", f" {prose()}"
         if kind == 8:  # what a telling name is said to be
             quote = r.choice(['"', "", "", ""])
-            v = r.choice([lambda: word() + word() + word(), lambda: "".join(r.sample(_DICTIONARY, 2)), lambda: f"{dictionary()}_{dictionary()}", lambda: r.choice(["Bearer", "required", "optional", "changeme", "password", "undefined", "placeholder", "your_password"])])()
+            v = r.choice([lambda: word() if quote else word() + word() + word(), lambda: "".join(r.sample(_DICTIONARY, 2)), lambda: f"{dictionary()}_{dictionary()}", lambda: r.choice(["Bearer", "required", "optional", "changeme", "password", "undefined", "placeholder", "your_password"])])()
             return v, f"{prose()} {r.choice(names)}{r.choice([': ', ' = ', ': ', '='])}{quote}", f"{quote} {prose()}"
         if kind == 9:  # code that reads one
             return r.choice([f"{word()}.{word()}{r.choice(['', '()', '[0]'])}", f"get_{word()}{word()}()", f"os.environ[{word().upper()}]", f"${{{word().upper()}_{word().upper()}}}", f"https://{word()}.{word()}.com/{word()}{word()}"]), f"{prose()} {r.choice(names)}{r.choice([' = ', ': ', '='])}", f" {prose()}"
@@ -219,6 +227,23 @@ def sample_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, b
     return [(*(secret() if i % 2 else other()), bool(i % 2)) for i in range(n)]
 
 
+def labelled_findings(docs: DataFrame, marks: DataFrame, most: int = MAX_FINDINGS) -> list[tuple[str, str, str, bool]]:
+    """Findings for ``train`` from marked places (doc_id, start, is_secret) of documents: the candidates that start there, ``most`` at most."""
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for text, places in zip(rows["text"], rows["places"]):
+                said = {p["start"]: p["is_secret"] for p in places}
+                out += [(text[a : a + len(v)], text[max(0, a - CONTEXT) : a], text[a + len(v) :][:CONTEXT], said[a]) for a, v in candidates(text) if a in said]
+            yield pd.DataFrame(out, columns=["candidate", "before", "after", "is_secret"])
+
+    places = marks.where("doc_id IS NOT NULL AND start IS NOT NULL AND is_secret IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.struct("start", "is_secret")).alias("places"))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(places, "doc_id").select("text", "places")
+    found = rows.mapInPandas(marked, "candidate string, before string, after string, is_secret boolean")
+    return [tuple(r) for r in found.orderBy(F.xxhash64("candidate", "before"), "candidate").limit(most).collect()]
+
+
 def train(findings: list[tuple[str, str, str, bool]] | None = None) -> Forest:
     rows = (sample_findings() if findings is None else findings)[:MAX_FINDINGS]
     return Forest(np.array([features(*r[:3]) for r in rows]), np.array([float(r[3]) for r in rows]))
