@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, mixing, quality_rules
 
@@ -91,18 +92,29 @@ def brute_line_dedup(rows):
     for k, w in lines.items():
         rest = tuple((p, x) for p, x in enumerate(w[line_dedup.LEAD :]) if not digit(x) and len(holders[leaf[k], p, x]) >= line_dedup.MIN_DOCS)
         constant = len(rest) + sum(x != "<*>" for x in leaf[k][1:])
-        if constant >= line_dedup.SIMILARITY * len(w):
+        worded = any(re.search(r"[^\W\d_]|©", x) for x in [x for x in leaf[k][1:] if x != "<*>"] + [x for _, x in rest])
+        if constant >= line_dedup.SIMILARITY * len(w) or (constant + sum(map(digit, w)) >= line_dedup.SIMILARITY * len(w) and worded):
             template[k] = (leaf[k], rest)
+        elif not any(re.search(r"[^\W\d_]|©", x) and not digit(x) for x in w):
+            template[k] = tuple(w)
+        if k in template:
             docs_of_template[template[k]].add(k[0])
+    recurring = {k for k, x in template.items() if len(docs_of_template[x]) >= line_dedup.MIN_DOCS}
+    size = lambda k: len(" ".join(lines[k]))
+    lost = defaultdict(int)
+    for k in recurring:
+        lost[k[:2]] += size(k)
+    # only documents with text of their own tell what is boilerplate
+    tellers = defaultdict(set)
+    for k in recurring:
+        if lost[k[:2]] <= line_dedup.COPY_SHARE * len(k[1].replace("\n", "")):
+            tellers[template[k]].add(k[0])
     out = []
     for i, t, *_ in rows:
         if t is None:
             out.append((i, None))
             continue
-        drop = [p for p in range(t.count("\n") + 1) if len(docs_of_template.get(template.get((i, t, p)), ())) >= line_dedup.MIN_DOCS]
-        lost = sum(len(" ".join(lines[i, t, p])) for p in drop)
-        if lost > line_dedup.COPY_SHARE * len(t.replace("\n", "")):
-            drop = []
+        drop = [p for p in range(t.count("\n") + 1) if (i, t, p) in recurring and len(tellers[template[i, t, p]]) >= line_dedup.MIN_DOCS]
         out.append((i, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop)))
     return Counter(out)
 
@@ -113,6 +125,8 @@ def test_line_dedup_matches_brute_force(spark):
     rows = [(i, f"{own(i)}\nPage {i} of the great atlas of towns\n{own(i + 500)}\n{own(i + 700)}", "en", "s") for i in range(8)]
     rows += [(20 + i, f"{own(20 + i)}\n{shared} {own(i)[:4]}\n{own(60 + i)}", "en", "s") for i in range(6)]
     rows += [(40 + i, f"{own(40)}\n{own(41)}\n{own(42)}", "en", "s") for i in range(7)]  # copies stay whole
+    rows += [(60 + i, f"{own(44)}\nPage {i} of the great atlas of towns\n{own(45)}", "en", "s") for i in range(7)]  # but for boilerplate
+    rows += [(70, "Page 70 of the great atlas of towns\nPage 71 of the great atlas of towns", "en", "s")]  # nothing else
     rows += [(80 + i, f"{own(80 + i)}\nThis line is in four texts only\n{own(90 + i)}", "en", "s") for i in range(4)]
     rows += [(95, "  spaced line  of two  \n" * 3, "en", "s"), (96, own(96) + "\n" + "word " * 3000, "en", "s"), *AWKWARD]
     docs = docs_of(spark, rows).selectExpr("*", "7 AS tk", "'p' AS pos")
@@ -127,13 +141,12 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.drop_recurring_lines(docs.where("false")).collect() == []
 
 
-def brute_mix(rows, targets, budget_share):
+def brute_mix(rows, targets, budget_share, tokens=lambda t: len(re.findall(r"\S+", t or "", re.ASCII))):
     def key(i, t):
         u = (int(hashlib.md5(f"{'' if i is None else i}|{mixing.SEED}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         plain = sum(c.islower() or c == " " for c in t or "")
         return round(-math.log(u) / max(mixing.WEIGHT_FLOOR, round((plain / max(len(t or ""), 1)) ** 2, 6)), 12)
 
-    tokens = lambda t: len(re.findall(r"\S+", t or "", re.ASCII))
     by = defaultdict(list)
     for i, t, _, s in rows:
         by[s].append((key(i, t), tokens(t), i))
@@ -160,3 +173,15 @@ def test_mixing_matches_brute_force(spark, targets, share):
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.source) for r in out.collect()) == brute_mix(rows, targets, share)
     assert mixing.mix(docs.where("false")).collect() == []
+
+
+def test_mixing_with_given_weights_and_targets_of_no_source(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "s" if i % 4 else None, float("nan") if i % 5 == 0 else (None if i % 7 == 0 else i / 100), i) for i in range(100)], "doc_id long, text string, source string, w double, n int")
+    assert mixing.mix(docs, {"nowhere": 2.0}).count() == 0 and mixing.mix(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s": -1.0})
+    out = mixing.mix(docs, {"s": 1.0}, budget_share=0.3, weight=F.col("w"), tokens=F.col("n")).collect()
+    total, own = sum(range(100)), sum(i for i in range(100) if i % 4)
+    assert {r.source for r in out} == {"s"} and 0.9 * 0.3 * total - 100 <= sum(r.n for r in out) <= 0.3 * total < own
+    # the documents of greater weight come first
+    assert sum(r.doc_id for r in out) / len(out) > 49

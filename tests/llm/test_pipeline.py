@@ -9,7 +9,7 @@ from test_filters import brute_line_dedup, brute_mix, histograms, js
 from test_search import brute_groups
 
 import corpus_pipeline
-from quern.llm import mixing, packing, quality_rules
+from quern.llm import mixing, packing, quality_rules, token_counts
 
 
 def documents():
@@ -47,8 +47,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     groups, _ = brute_groups([(i, t) for i, t, *_ in lined])
     unique = [r for r in lined if r[0] is None or groups.get(r[0], r[0]) == r[0]]
     assert sum(100 <= r[0] < 104 for r in unique if r[0] is not None) == 1
-    taken = brute_mix(unique, None, mixing.BUDGET_SHARE)
-    words = {(i, s): len(t.split()) for i, t, _, s in unique}
+    length = lambda t: 0 if t is None else token_counts.counter().total(t)
+    taken = brute_mix(unique, None, mixing.BUDGET_SHARE, length)
+    words = {(i, s): length(t) for i, t, _, s in unique}
     wanted = Counter()
     for (i, s), n in taken.items():
         wanted[i] += n * words[i, s]
@@ -68,3 +69,23 @@ def test_all_stages_but_the_last_return_the_columns_of_documents(spark):
         out = stage(spark, docs, "")
         assert out.dtypes == docs.dtypes and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_pipeline_of_string_ids_clashing_columns_and_repeated_rows(spark, tmp_path):
+    rows = [(None if i is None else f"d{i}", t, lang, s, 7, "x", 1.0) for i, t, lang, s in documents()]
+    rows += rows[:3] + [("lone", "w " * 9000, None, None, None, None, None)]
+    schema = "doc_id string, text string, lang string, source string, n_chars long, tk string, _q_key double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    fill = Counter()
+    for r in out:
+        fill[r.bin_id] += r.tokens
+    assert out and max(fill.values()) <= packing.CAPACITY and {r.doc_id for r in out} <= {r[0] for r in rows}
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").dtypes == docs.dtypes
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,6 +37,9 @@ def test_neighbours_reach_the_recall_of_brute_force(spark):
     sims = x @ x.T
     np.fill_diagonal(sims, -9)
     assert set(found) == set(ids.tolist())
+    named = df.select(__import__("pyspark.sql.functions", fromlist=["x"]).concat("query", "vec_id").alias("vec_id"), "embedding")
+    strings = ann.nearest_neighbours(named.where("vec_id IN ('q1', 'q2', 'q900', 'q901')")).collect()
+    assert {(r["query"], r.neighbour) for r in strings} == {(a, b) for a in ("q1", "q2", "q900", "q901") for b in ("q1", "q2", "q900", "q901") if a != b}
     hits = 0
     for k, i in enumerate(ids.tolist()):
         got = sorted(found[i])
@@ -54,14 +58,52 @@ def test_few_vectors(spark):
     assert ann.nearest_neighbours(make(few[:1])).collect() == [] and ann.nearest_neighbours(make([])).collect() == []
 
 
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=ann.PROBED_RADIUS))
-@settings(max_examples=200, deadline=None)
-def test_probing_finds_every_code_within_the_radius(code, flips):
-    import pandas as pd
+def test_equal_vectors_are_neighbours_by_least_ids(spark):
+    same = [0.6, 0.8]
+    rows = [(i, same) for i in range(40)] + [(100, [1.0, 0.0]), (101, [0.0, 1.0])]
+    out = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got[r["query"]].append(r.neighbour)
+    assert all(got[i] == [j for j in range(4) if j != i][:3] for i in range(40))
+    assert got[101] == [0, 1, 2] and len(got) == 42
+
 
+def test_stated_queries_are_answered_from_the_index(spark):
+    """Recall on a given table; the queries of near vectors are done at the first radius."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    out, wider = ann.search(df, queries=F.col("vec_id") % 100 == 0)
+    found = defaultdict(dict)
+    for r in out.collect():
+        found[r["query"]][r.neighbour] = r.cosine
+    assert set(found) == {i for i in ids.tolist() if i % 100 == 0}
+    hits = 0
+    for q, near in found.items():
+        sims = x @ x[ids == q][0]
+        sims[ids == q] = -9
+        hits += sum(c >= np.sort(sims)[-10] - 2e-5 for c in near.values())
+    assert hits >= 0.9 * 10 * len(found)
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().toString()
+    near = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>")
+    _, wider = ann.search(near)
+    grouped = {r["query"] for r in wider.collect()}
+    assert len(grouped & set(range(350))) < 350
+
+
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=20), st.integers(2, 10**9))
+@settings(max_examples=100, deadline=None)
+def test_probing_finds_every_code_within_the_radius(code, flips, n):
     other = code ^ sum(1 << b for b in flips)
-    signed = lambda c: pd.Series([c - 2**64 if c >= 2**63 else c])
-    assert set(ann._probe_keys.func(signed(code))[0]) & set(ann._index_keys.func(signed(other))[0])
+    parts = ann.substrings(n)
+    assert sum(length for _, length in parts) == ann.BITS
+    own = {(j << 32) + (other >> at & (1 << length) - 1) for j, (at, length) in enumerate(parts)}
+    assert set(ann.probe_keys(code, len(flips), parts, {}).tolist()) & own
 
 
 @given(st.lists(st.integers(0, 65535), min_size=near_dup.K, max_size=near_dup.K), st.sets(st.integers(0, near_dup.K - 1), max_size=near_dup.MAX_DIFF))
@@ -119,12 +161,31 @@ def brute_groups(rows):
     return {i: g for i, g in groups.items() if size[g] > 1}, pairs
 
 
-def test_near_duplicates_match_brute_force(spark):
+def brute_links(rows):
+    """Other signatures within the distance of each document's own, and documents of its own."""
+    signed = defaultdict(set)
+    for i, t in rows:
+        if i is not None and (s := near_dup.signature(t)) is not None:
+            signed[i].add(s.tobytes())
+    every = np.array([np.frombuffer(s, np.uint16) for s in sorted(set().union(*signed.values()))])
+    links = {s.tobytes(): int((((every != s).sum(axis=1)) <= near_dup.MAX_DIFF).sum()) - 1 for s in every}
+    holders = defaultdict(int)
+    for ss in signed.values():
+        for s in ss:
+            holders[s] += 1
+    return {i: (sum(links[s] for s in ss), max(holders[s] for s in ss)) for i, ss in signed.items()}
+
+
+@pytest.mark.parametrize("block", [2, near_dup.BLOCK])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rows, planted = texts()
     df = spark.createDataFrame([(i, t, "k", b"s", 1) for i, t in rows + AWKWARD], "doc_id long, text string, key string, sig binary, a int")
     groups, pairs = brute_groups(rows + AWKWARD)
-    found = {r.doc_id: r.group_id for r in near_dup.near_duplicate_groups(df).collect()}
+    out = near_dup.near_duplicate_groups(df).collect()
+    found, links = {r.doc_id: r.group_id for r in out}, brute_links(rows + AWKWARD)
     assert found == groups
+    assert {r.doc_id: (r.n_links, r.n_copies) for r in out} == {i: links[i] for i in groups}
     assert all(found.get(a) == found.get(b) is not None for a, b in planted)
     assert {(r.a, r.b) for r in near_dup.near_duplicate_pairs(df).collect()} == pairs
     kept = near_dup.drop_near_duplicates(df)
@@ -136,6 +197,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dup.near_duplicate_groups(empty).collect() == [] and near_dup.drop_near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_of_ids_that_are_strings(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), ("c", "something else here"), ("d", "one two three four"), ("e", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r.doc_id, r.group_id, r.n_links, r.n_copies) for r in near_dup.near_duplicate_groups(df).collect()} == {(i, "a", 0, 3) for i in "abd"}
+    assert sorted(r.doc_id for r in near_dup.drop_near_duplicates(df).collect()) == ["a", "c", "e"]
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(900, 901)], "a long, b long")
