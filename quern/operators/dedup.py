@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import jaccard, join_sentences, sentence_set, tag_set, years_mentioned
+from quern.functions.text import jaccard, join_sentences, normalise_name, sentence_set, tag_set, years_mentioned
 
 #: Weights of a row's fields in its similarity to another.
 WEIGHTS = {"date": 0.3, "names": 0.3, "location": 0.2, "description": 0.1, "tags": 0.1}
@@ -154,3 +154,15 @@ def members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
 
 def not_members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key).distinct(), key, "left_anti")
+
+
+def link_by_street(directory: DataFrame, address: str, streets: DataFrame, street: str) -> DataFrame:
+    """directory with street, number and the other columns of its street, null where none has the name.
+
+    Both names are normalised, and an address is cut at its trailing number. The
+    table of streets should name each once; of equal names each gives a row."""
+    text = F.trim(address)
+    number = F.regexp_extract(text, r"(\d+)$", 1)
+    left = directory.withColumn("number", number.try_cast("int")).withColumn("_name", normalise_name(F.regexp_replace(text, r"\s*\d+$", "")))
+    right = streets.withColumn("_name", normalise_name(F.col(street))).drop(street)
+    return left.join(right, "_name", "left").withColumnRenamed("_name", "street")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,3 +55,9 @@ def first_seen(df: DataFrame, value: str, idx: str) -> DataFrame:
     """Distinct values in the order of their first row, with their ordinal and colour slot of 20."""
     firsts = df.groupBy(value).agg(F.min(idx).alias("first_idx"))
     return numbered(firsts, [F.col("first_idx"), F.col(value)], "ordinal").withColumn("slot", F.pmod("ordinal", F.lit(20)))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, which ends with ``name``."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}-{name}"

@@ -171,9 +171,12 @@ def html_links(spark, sf_dir):
     return p.select("page_id", F.size("h").cast("long").alias("n_links"), F.size(F.filter("h", lambda x: F.startswith(x, F.lit("/")))).cast("long").alias("n_local"))
 
 
-@query()
+@query("""SELECT page_id AS id, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(html, '(?s)<nav>.*?<a href="([^"]*)">', 1) AS url, trim(regexp_extract(html, '(?s)<nav>.*?<a href="[^"]*">([^<]*)</a>', 1)) AS title
+FROM pages WHERE regexp_matches(html, '(?s)<nav>.*?<a href="[^"]*">')""")
 def box_first_links(spark, sf_dir):
-    return files.box_links(table(spark, sf_dir, "pages"), "page_id", "url", "html", "ad")
+    """The first link of each page's menu, which stands in a box here."""
+    boxed = F.replace(F.replace("html", F.lit("<nav>"), F.lit('<div class="menu box">')), F.lit("</nav>"), F.lit("</div>"))
+    return files.box_links(table(spark, sf_dir, "pages").select("page_id", "url", boxed.alias("html")), "page_id", "url", "html", "box")
 
 
 @query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
