@@ -71,7 +71,7 @@ def flagged_grid(spark, sf_dir):
 
 
 #: A forest of binary trees over the customers: each is tied to half its number, but for every seventh.
-_FOREST = "WITH RECURSIVE t AS (SELECT c_custkey AS node, c_custkey AS at FROM customer UNION ALL SELECT node, CAST(floor(at / 2) AS BIGINT) FROM t WHERE at % 7 <> 0 AND at > 1), c AS (SELECT node, min(at) AS component FROM t GROUP BY 1)"
+_FOREST = "WITH RECURSIVE t AS (SELECT c_custkey AS node, c_custkey AS up FROM customer UNION ALL SELECT node, CAST(floor(up / 2) AS BIGINT) FROM t WHERE up % 7 <> 0 AND up > 1), c AS (SELECT node, min(up) AS component FROM t GROUP BY 1)"
 
 
 def _forest(spark, sf_dir):
