@@ -142,3 +142,16 @@ def test_two_nearest_match_all_pairs_and_never_shuffle_them(spark):
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert vectors.nearest_two(df.where("id < 1"), df.where("id < 1"), "id", "v", others=True).count() == 0
+
+
+def test_triangles_of_hubs_and_of_named_nodes_without_pairs_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RANGE_EDGES", 100)
+    r = random.Random(4)
+    edges = {tuple(sorted(r.sample(range(90), 2))) for _ in range(500)} | {(0, i) for i in range(1, 90)} | {(1, i) for i in range(2, 90)}
+    near = {i: {a + b - i for a, b in edges if i in (a, b)} for i in range(90)}
+    expected = {i: (len(near[i]), sum(tuple(sorted(p)) in edges for p in itertools.combinations(near[i], 2))) for i in range(90)}
+    for kind, name in (("int", int), ("string", lambda i: f"n{i:02}")):
+        nodes, canonical = graph.build(spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}"))
+        out = graph.clustering(nodes, canonical)
+        assert {q.node: (q.degree, q.triangles) for q in out.collect()} == {name(i): v for i, v in expected.items()}
+        assert "`x` < `y`" not in out._jdf.queryExecution().toString() and "(x#" not in out._jdf.queryExecution().toString()
