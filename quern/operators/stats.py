@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.address import scaled
-from quern.operators.rows import numbered
+from quern.operators.rows import numbered, stored
 
 
 def frequencies(df: DataFrame, key: Column, name: str = "key", exclude: str | None = None) -> DataFrame:
@@ -46,24 +46,80 @@ def with_fallback(df: DataFrame, groups: DataFrame, key: str, value: str) -> Dat
     return out.select(*df.columns, F.coalesce("mean", "all_mean").alias("mean"), F.coalesce("deviation", "all_deviation").alias("deviation"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles by key, named as in ``shares``; null where a key has no value. As ``F.percentile``, but no task holds the values of a key.
+
+    Sketches of bounded size give narrow brackets around each percentile. Rows are counted below and in each of these, so it is
+    known in which piece the wanted places are, and only the values of that piece are ordered. The sketch decides how
+    much is ordered, never the result.
+    """
+    if not keys:
+        one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))  # a row even of no rows
+        return one.join(percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, shares), "_all", "left").drop("_all")
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v"))
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in shares.values() for d in (-0.05, -0.002, -0.0003, 0.0003, 0.002, 0.05)})
+    cuts = stored(rows.groupBy(*keys).agg(F.percentile_approx("_v", near, 10000).alias("_cuts")))
+    # the piece of a value: how many cuts are at most it
+    cut = by_key(rows.where("_v IS NOT NULL"), cuts, keys).withColumn("_piece", sum((F.when(F.col("_v") >= F.col("_cuts")[i], 1).otherwise(0) for i in range(len(near))), F.lit(0))).drop("_cuts")
+    sizes = stored(cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n")))
+    upto = Window.partitionBy(*keys).orderBy("_piece")
+    of_key = Window.partitionBy(*keys)
+    sizes = sizes.select(*keys, "_piece", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(of_key).alias("_all_n"))
+    places = lambda n, p: (F.floor(p * (n - 1)), F.ceil(p * (n - 1)))
+    ends = [e for p in shares.values() for e in places(F.col("_all_n"), p)]
+    inside = lambda e, before, upto: (e >= F.col(before)) & (e < F.col(upto))
+    wanted = stored(sizes.where(F.exists(F.array(*ends), lambda e: inside(e, "_before", "_upto"))).select(*keys, "_piece", "_before", "_all_n"))
+    # equal values are one row; in what is left, places are counted within a piece
+    held = by_key(cut, wanted, [*keys, "_piece"]).groupBy(*keys, "_piece", "_v").agg(F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_all_n").alias("_all_n"))
+    running = F.sum("_n").over(Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_to", F.col("_before") + running).withColumn("_from", F.col("_to") - F.col("_n"))
+    out = held.groupBy(*keys).agg(F.first("_all_n").alias("_all_n"), *(F.max(F.when(inside(e, "_from", "_to"), F.col("_v"))).alias(f"_e{i}") for i, e in enumerate(ends)))
+
+    def between(i: int, p: float) -> Column:
+        low, high, at = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), p * (F.col("_all_n") - 1)
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    out = stored(out.select(*keys, *(between(i, p).alias(name) for i, (name, p) in enumerate(shares.items()))))
+    return by_key(cuts.select(*keys), out, keys, "left")
+
+
+#: Rows of a table that are broadcast at most.
+BROADCAST = 100_000
+
+
+def by_key(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of its key in a stored table with a row for each key. Null is a key.
+
+    A small table is broadcast: few keys would bring all rows to as few tasks.
+    """
+    right = groups.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in groups.columns if c not in keys))
+    right = F.broadcast(right) if groups.count() <= BROADCAST else right
+    same = [df[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return df.join(right, on, how).drop(*(f"_k_{k}" for k in keys))
+
+
 def iqr_fences(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
     """Exact quartiles and the fence around them, by key; without a value the fence is (0, infinity)."""
-    out = df.groupBy(*keys).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    out = percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     reach = factor * (F.col("q3") - F.col("q1"))
     return out.select(*keys, "q1", "q3", F.coalesce(F.col("q1") - reach, F.lit(0.0)).alias("lower"), F.coalesce(F.col("q3") + reach, F.lit(float("inf"))).alias("upper"))
 
 
-def outside_fences(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows outside the fences of their key."""
-    fences = iqr_fences(df, keys, value)
-    out = df.join(fences, keys) if keys else df.crossJoin(F.broadcast(fences))
+def outside_fences(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
+    """Rows outside the fences of their key; those without a key have none."""
+    fences = stored(iqr_fences(df, keys, value, factor))
+    out = by_key(df.dropna(subset=keys), fences.dropna(subset=keys), keys) if keys else df.crossJoin(F.broadcast(fences))
     return out.where((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))).select(*df.columns)
 
 
 def best_fraction(df: DataFrame, score: str, tie: str, percent: float) -> DataFrame:
     """Of the rows at least as good as the median less one sample deviation (0 for one row),
     the best percent but two at least; ties go to the greater ``tie``. Adds ``place`` from 1."""
-    limit = df.agg(F.median(score).alias("_m"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("_s"))
+    limit = percentiles(df, [], score, {"_m": 0.5}).crossJoin(df.agg(F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("_s")))
     good = df.crossJoin(F.broadcast(limit)).where(F.col(score) >= F.col("_m") - F.col("_s")).drop("_m", "_s")
     placed = numbered(good, [F.col(score).desc(), F.col(tie).desc()], "place")
     most = placed.agg(F.greatest(F.lit(2), F.floor(F.count("*") * percent / 100)).alias("_most"))

@@ -36,8 +36,7 @@ def iqr_fences(spark, sf_dir):
 SELECT l_orderkey, l_linenumber FROM lineitem JOIN q ON l_returnflag = l_shipmode WHERE l_extendedprice < q1_lo(lo) OR l_extendedprice > hi""".replace("q1_lo(lo)", "lo"))
 def outside_narrow_fences(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    fences = stats.iqr_fences(li, ["l_returnflag"], "l_extendedprice", 0.5)
-    return li.join(fences, "l_returnflag").where("l_extendedprice < lower OR l_extendedprice > upper").select("l_orderkey", "l_linenumber")
+    return stats.outside_fences(li, ["l_returnflag"], "l_extendedprice", 0.5).select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH t AS (SELECT median(s_acctbal) AS m, coalesce(stddev_samp(s_acctbal), 0) AS s FROM supplier),

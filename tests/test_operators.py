@@ -8,9 +8,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions import address
-from quern.operators import dedup, graph, records, rows, series, vectors
+from quern.operators import dedup, graph, records, rows, series, stats, vectors
 from quern.sources import files
 from quern.streaming import rates
 
@@ -155,3 +156,19 @@ def test_triangles_of_hubs_and_of_named_nodes_without_pairs_of_neighbours(spark,
         out = graph.clustering(nodes, canonical)
         assert {q.node: (q.degree, q.triangles) for q in out.collect()} == {name(i): v for i, v in expected.items()}
         assert "`x` < `y`" not in out._jdf.queryExecution().toString() and "(x#" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_percentiles_are_exact_without_the_values_of_a_key_in_one_task(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(stats, "BROADCAST", broadcast)
+    r = random.Random(6)
+    data = [(r.choice(["a", "b", None]), r.choice([r.gauss(0, 1e3), 5.0, float(r.randint(0, 3))])) for _ in range(4000)]
+    data += [("one", 7.0), ("two", 1.0), ("two", 2.0), ("none", None), ("same", 3.0), ("same", 3.0), ("nan", float("nan")), ("nan", 1.0), ("nan", 2.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    expected = {q.k: (q.lo, q.hi) for q in df.groupBy("k").agg(F.percentile("v", 0.25).alias("lo"), F.percentile("v", 0.9).alias("hi")).collect()}
+    out = stats.percentiles(df, ["k"], "v", {"lo": 0.25, "hi": 0.9})
+    assert {k: repr(v) for k, v in ((q.k, (q.lo, q.hi)) for q in out.collect())} == {k: repr(v) for k, v in expected.items()}
+    fences = stats.iqr_fences(df, ["k"], "v")
+    assert "percentile(" not in fences._jdf.queryExecution().toString()
+    assert {q.k: (q.lower, q.upper) for q in fences.collect()}["none"] == (0.0, float("inf"))
+    assert [tuple(q) for q in stats.percentiles(df.where("false"), [], "v", {"m": 0.5}).collect()] == [(None,)]
