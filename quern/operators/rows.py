@@ -37,6 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def pieces(df: DataFrame, rows: int = 500_000) -> int:
+    """Partitions of so many rows that hold df."""
+    return df.count() // rows + 1
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """df with the dense 0-based position of each row in the total order ``order``.
 

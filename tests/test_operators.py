@@ -189,3 +189,19 @@ def test_outliers_in_space_match_all_pairs(spark, monkeypatch):
     assert found.pop(-1) == (None, None)
     assert len(found) == len(x) and all(abs(found[i][0] - mean[i]) < 1e-9 and found[i][1] == (mean[i] > limit) for i in range(len(x)))
     assert "NestedLoopJoin LeftOuter" not in (plan := out._jdf.queryExecution().toString()) and "row_number" not in plan
+
+
+@pytest.mark.parametrize("size", [1 << 21, 16])
+def test_components_from_contracted_edges(spark, monkeypatch, size):
+    monkeypatch.setattr(graph, "FOREST_EDGES", size)
+    r = random.Random(9)
+    edges = [(f"n{a:03}", f"n{b:03}") for a, b in [*((i, i + 1) for i in range(120)), *(r.sample(range(200, 290), 2) for _ in range(60))]]
+    nodes, canonical = graph.build(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("alone",)], "node string"))
+    root = {n: n for e in edges for n in e} | {"alone": "alone"}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {q.node: q.component for q in graph.components(nodes, canonical).collect()} == root
+    assert {q.node: q.component for q in graph.components(nodes, graph.contracted(canonical.coalesce(1))).collect()} == root
+    assert graph.contracted(canonical.coalesce(1)).count() <= (len(root) if size > 16 else len(edges))
+    assert {(q.src, q.dst) for q in graph.guarded_edges(canonical, nodes.where("node < 'n003'")).collect()} == {("n000", "n001"), ("n001", "n002")}
