@@ -288,8 +288,11 @@ def connected_components(spark, sf_dir):
 
 @query(f"WITH {_GRAPH_SQL} SELECT src, dst FROM e SEMI JOIN (SELECT p_partkey FROM part WHERE p_size > 15) a ON a.p_partkey = src SEMI JOIN (SELECT p_partkey FROM part WHERE p_size > 15) b ON b.p_partkey = dst")
 def guarded_edges(spark, sf_dir):
-    _, edges = _graph(spark, sf_dir)
-    return graph.guarded_edges(edges, table(spark, sf_dir, "part").where("p_size > 15").select(F.col("p_partkey").alias("node")))
+    # the guard holds for lines already: an edge has both ends where both lines have theirs
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = table(spark, sf_dir, "part").where("p_size > 15").select(F.col("p_partkey").alias("node"))
+    lines = graph.guarded_edges(li.repartition(rows.pieces(li), "l_partkey"), parts, ("l_partkey",))
+    return _edges(lines)
 
 
 @query()

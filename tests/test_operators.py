@@ -205,3 +205,11 @@ def test_components_from_contracted_edges(spark, monkeypatch, size):
     assert {q.node: q.component for q in graph.components(nodes, graph.contracted(canonical.coalesce(1))).collect()} == root
     assert graph.contracted(canonical.coalesce(1)).count() <= (len(root) if size > 16 else len(edges))
     assert {(q.src, q.dst) for q in graph.guarded_edges(canonical, nodes.where("node < 'n003'")).collect()} == {("n000", "n001"), ("n001", "n002")}
+
+
+def test_guarded_edges_filter_lines_before_they_are_paired(spark):
+    from quern.plans import catalogue
+
+    plan = catalogue.QUERIES["guarded_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Join" in x]
+    assert "Inner" in lines[0] and any("LeftSemi" in x for x in lines[1:])
